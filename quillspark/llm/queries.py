@@ -6,7 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import quantiles, term_counts
+from . import linked_splits, mojibake, quantiles, term_counts
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find(table(spark, sf_dir, "review").select("id_string", "review"), "review").select("id_string").distinct()
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mojibake.find(table(spark, sf_dir, "review").select("id_string", "review"), "review")
+    return found.drop("review").dropDuplicates(["id_string"])
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "review").select(
+        F.col("id_string").alias("id"),
+        linked_splits.account(F.col("profile_url")).alias("node"),
+        linked_splits.partition_name(F.col("partition")).alias("part"),
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comps = linked_splits.components(linked_splits.alias_edges(table(spark, sf_dir, "profile_alias")))
+    return linked_splits.in_several_partitions(_accounts(spark, sf_dir), comps).withColumnRenamed("id", "id_string")
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every review with its split, from an empty state."""
+    reviews = _accounts(spark, sf_dir).select("id", F.coalesce("node", F.concat(F.lit("r:"), F.col("id"))).alias("node")).distinct()
+    state = linked_splits.assign(
+        reviews.groupBy("node").agg(F.count("*").alias("n")),
+        linked_splits.alias_edges(table(spark, sf_dir, "profile_alias")),
+    )
+    return reviews.join(state, "node").select(F.col("id").alias("id_string"), "split")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +91,10 @@ def _p5_sql(daily: bool) -> str:
 
 def queries():
     return {
+        "p2_found": p2_found,
+        "p2_restored": p2_restored,
+        "p3_found": p3_found,
+        "p3_split": p3_split,
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p5_percentiles": p5_percentiles,
@@ -66,8 +102,22 @@ def queries():
     }
 
 
+_P3_SQL = r"""
+with u as (select id_string, lower(trim(partition)) as p, regexp_replace(trim(profile_url), '^[A-Za-z]+://[^/]*/+', '') as path from review),
+a as (select id_string,
+       case when p in ('training', 'train') then 'training' when p in ('test', 'extra') then p end as part,
+       case lower(regexp_extract(path, '^([A-Za-z]+)/+', 1)) when 'profiles' then 'n:' when 'id' then 'i:' end as kind,
+       lower(trim(url_decode(regexp_extract(path, '^[A-Za-z]+/+([^/?#\s]+)', 1)))) as name from u),
+n as (select distinct id_string, part, kind || name as node from a where part is not null and kind is not null and name <> ''),
+l as (select 'n:' || lower(trim(account_number)) as x, 'i:' || lower(trim(account_name)) as y from profile_alias),
+c as (select id_string, part, coalesce(l.x, n.node) as author from n left join l on n.node = l.y)
+select distinct id_string from c where author in (select author from c group by 1 having count(distinct part) >= 2)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _P3_SQL,
         "p4_found": _P4_SQL + "select feature, mark from k where mark is not null",
         "p4_terms": _P4_SQL + "select feature, total, records, mark from k",
         "p5_percentiles": _p5_sql(False),
