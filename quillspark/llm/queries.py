@@ -6,7 +6,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import linked_splits, mojibake, quantiles, term_counts
+from . import linked_splits, mojibake, near_duplicates, near_pairs, quantiles, split_overlap, term_counts
+
+
+def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that count in p1 and p6: (id, appid, part, s); garbled and short ones are left out."""
+    rows = table(spark, sf_dir, "review").select(
+        F.col("id_string").alias("id"), "appid", linked_splits.partition_name(F.col("partition")).alias("part"), F.col("review").alias("text")
+    )
+    rows = mojibake.without_garbled(rows.where("text is not null"), "text", mojibake.vocabulary(rows, "text"))
+    worded = rows.select("id", "appid", "part", near_pairs.words(F.col("text")).alias("w"))
+    return worded.where(F.size("w") >= split_overlap.MIN_WORDS).select(
+        "id", "appid", "part", near_pairs.shingle_set(F.col("w"), split_overlap.SHINGLE).alias("s")
+    )
+
+
+def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("part") == "training", near_pairs.TRAIN).otherwise(near_pairs.EVAL).cast("byte")
+    return split_overlap.overlaps(_shingled(spark, sf_dir).where("part is not null").select("id", side.alias("side"), "s"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p1(spark, sf_dir).select(F.col("id").alias("id_string"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping evaluation reviews and all evaluation reviews, per partition and game."""
+    reviews = (
+        table(spark, sf_dir, "review")
+        .select("id_string", linked_splits.partition_name(F.col("partition")).alias("partition"), "game")
+        .where(F.col("partition").isin("test", "extra"))
+        .distinct()
+    )
+    found = _p1(spark, sf_dir).select(F.col("id").alias("id_string"), "containment")
+    return (
+        reviews.join(found, "id_string", "left")
+        .groupBy("partition", "game")
+        .agg(F.count("containment").alias("n_overlap"), F.count("*").alias("n_reviews"), F.round(F.avg("containment"), 6).alias("avg_containment"))
+    )
+
+
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _shingled(spark, sf_dir)
+        .where("appid is not null")
+        .select("id", F.xxhash64("appid").alias("grp"), F.lit(3).cast("byte").alias("side"), "s")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.duplicate_pairs(_p6(spark, sf_dir))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per review that has a near-copy: its group and its number of links."""
+    return near_duplicates.duplicate_groups(_p6(spark, sf_dir)).withColumnRenamed("id", "id_string")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +145,10 @@ def _p5_sql(daily: bool) -> str:
 
 def queries():
     return {
+        "p1_found": p1_found,
+        "p1_report": p1_report,
+        "p6_found": p6_found,
+        "p6_groups": p6_groups,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
         "p3_found": p3_found,
