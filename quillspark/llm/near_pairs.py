@@ -46,14 +46,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def shingle_set(w: Column, k: int) -> Column:
-    """Sorted distinct 32-bit hashes of ``k`` consecutive words; empty below ``k`` words."""
-    def at(i):
-        return F.hash(*[F.get(w, i + j) for j in range(k)])
+def shingle_set(text: Column, k: int, min_words: int) -> Column:
+    """Sorted distinct 32-bit hashes of ``k`` consecutive words; null below ``min_words`` words. The word
+    array is bound to a lambda variable, else it would be computed again for every shingle."""
+
+    def of(w):
+        at = lambda i: F.hash(*[F.get(w, i + j) for j in range(k)])
+        return F.when(
+            F.size(w) >= max(k, min_words),
+            F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), at))),
+        )
 
-    return F.when(F.size(w) < k, F.array().cast("array<int>")).otherwise(
-        F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), at)))
-    )
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,11 +14,9 @@ def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "review").select(
         F.col("id_string").alias("id"), "appid", linked_splits.partition_name(F.col("partition")).alias("part"), F.col("review").alias("text")
     )
-    rows = mojibake.without_garbled(rows.where("text is not null"), "text", mojibake.vocabulary(rows, "text"))
-    worded = rows.select("id", "appid", "part", near_pairs.words(F.col("text")).alias("w"))
-    return worded.where(F.size("w") >= split_overlap.MIN_WORDS).select(
-        "id", "appid", "part", near_pairs.shingle_set(F.col("w"), split_overlap.SHINGLE).alias("s")
-    )
+    rows = rows.where("text is not null")
+    shingles = near_pairs.shingle_set(F.col("text"), split_overlap.SHINGLE, split_overlap.MIN_WORDS)
+    return mojibake.without_garbled(rows.withColumn("s", shingles), "text", mojibake.vocabulary(rows, "text"), "s")
 
 
 def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
