@@ -8,9 +8,9 @@ All pairs are found; nothing is sampled and no bucket is capped:
    and bounded in size by its least share. Two sets that are similar enough share a hash among the first
    few of either (prefix filter: the smaller set's first n - ceil(2t/(1+t) n) + 1, the larger's first
    n - ceil(t n) + 1), so only these are partitioned by hash.
-3. In each bucket the records are compared bit-sliced: every set is a 256-bit parity map, whose Hamming
-   distance never exceeds the sets' symmetric difference, so that a pair beyond the radius
-   (1-t)/(1+t)(|a|+|b|) is surely none. Bit planes lie vertically, 64 records to a word; a shift by s
+3. In each bucket the records are compared bit-sliced: every set is a parity map of 256 to 2,048 bits by
+   its size (the wider is folded to the narrower), whose Hamming distance never exceeds the sets'
+   symmetric difference, so that a pair beyond the radius (1-t)/(1+t)(|a|+|b|) is surely none. Bit planes lie vertically, 64 records to a word; a shift by s
    sets every record against the s-th next of its bucket; carry-save adders update all distances at once;
    words whose pairs all exceed their radius are abandoned.
 4. What is left is verified on the whole sets.
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 
-BITS = 256
+#: Widths of the parity maps, and the largest set of each but the last.
+WIDTHS = (256, 512, 1024, 2048)
+LARGEST = (64, 160, 400)
 CHUNK = 64
 BLOCK = 4096
-LANES = 1 << 17
+LANES = 1 << 16
 FREQUENT_SHARE = 1 / 2000
 BROADCAST_IDS = 500_000
 EVAL, TRAIN = 1, 2
@@ -107,15 +109,18 @@ def frequent(reps: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.ndarray
     return got.k.to_numpy(np.int32), got.n.to_numpy(np.int64)
 
 
-def _parity(flat: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """(n_docs, BITS / 8) bytes: each bit is the parity of the hashes that fall on it."""
-    slot = ((flat.astype(np.int64) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 24
-    parity = np.bincount(doc * BITS + slot, minlength=n_docs * BITS).astype(np.uint8) & 1
-    return np.packbits(parity.reshape(n_docs, BITS), axis=1, bitorder="little")
+def _parity(flat: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all parity maps, one after the other, and their lengths): a bit is the parity of the
+    hashes that fall on it; a hash's place in half the width is its place modulo that width."""
+    width = np.array(WIDTHS)[np.searchsorted(LARGEST, n)]
+    start = np.cumsum(width) - width
+    slot = ((flat.astype(np.int64) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+    parity = np.bincount(start[doc] + slot % width[doc], minlength=int(width.sum())).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little"), width // 8
 
 
 def postings(reps: DataFrame, t: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, n, rid, flags, bits) for the prefix hashes of every set, several rows where a bucket is cut
+    """(key, n, pos, rid, flags, bits) for the prefix hashes of every set, several rows where a bucket is cut
     into blocks. flags: 1 if among the smaller set's prefix, 2 and 4 the sides, 8 and 16 first or second
     block of a pair of blocks."""
     bound = reps.sparkSession.sparkContext.broadcast(often)
@@ -132,7 +137,7 @@ def postings(reps: DataFrame, t: float, often: tuple[np.ndarray, np.ndarray]) ->
         n = np.asarray(pc.list_value_length(s)).astype(np.int64)
         flat = s.flatten().to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(n)), n)
-        bits = _parity(flat, doc, len(n))
+        maps, size = _parity(flat, doc, n)
         if len(keys):
             at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
             df = np.where(keys[at] == flat, counts[at], 0)
@@ -158,14 +163,17 @@ def postings(reps: DataFrame, t: float, often: tuple[np.ndarray, np.ndarray]) ->
         key = np.where(cutup, (key[src] ^ (lo * 0x100000 + hi + 1)) * np.int64(0x369DEA0F31A53F85), key[src])
         flags = flags[src] | np.where(cutup & (lo != hi), np.where(me == lo, 8, 16), 0).astype(np.int8)
         d = doc[src]
-        data = pa.py_buffer(np.ascontiguousarray(bits[d]))
-        fixed = pa.Array.from_buffers(pa.binary(BITS // 8), len(d), [None, data]) if len(d) else pa.array([], pa.binary(BITS // 8))
+        start = np.cumsum(size) - size
+        length = size[d]
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        data = maps[np.arange(offsets[-1]) + np.repeat(start[d] - offsets[:-1], length)]
+        bits = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
         return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(n[d].astype(np.int32)), pa.array(rid[d]), pa.array(flags), fixed.cast(pa.binary())],
-            ["key", "n", "rid", "flags", "bits"],
+            [pa.array(key), pa.array(n[d].astype(np.int32)), pa.array(place[src].astype(np.int32)), pa.array(rid[d]), pa.array(flags), bits],
+            ["key", "n", "pos", "rid", "flags", "bits"],
         )
 
-    return reps.select("rid", "grp", "side", "s").mapInArrow(run, "key long, n int, rid long, flags byte, bits binary")
+    return reps.select("rid", "grp", "side", "s").mapInArrow(run, "key long, n int, pos int, rid long, flags byte, bits binary")
 
 
 def _add(planes: list[np.ndarray]) -> list[np.ndarray]:
@@ -207,39 +215,54 @@ def _pack(mask: np.ndarray) -> np.ndarray:
     return np.packbits(full, bitorder="little").view(np.uint64)
 
 
-def compare(group: np.ndarray, n: np.ndarray, flags: np.ndarray, bits: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lane numbers (i, j) of the pairs that may reach ``t``; lanes of a group stand together, n ascending."""
+def compare(group, n, pos, flags, width, bits: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lane numbers (i, j) of the pairs that may reach ``t``; lanes of a group stand together, n ascending.
+    ``bits[k]`` has the lanes' maps folded to WIDTHS[k] (only of lanes at least as wide)."""
+    found = []
+    for k, w in enumerate(WIDTHS):
+        if (width == w).any():
+            lanes = np.flatnonzero(width >= w)
+            i, j = _compare(group[lanes], n[lanes], pos[lanes], flags[lanes], width[lanes] == w, bits[k], t)
+            found.append((lanes[i], lanes[j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _compare(group, n, pos, flags, first, bits, t) -> tuple[np.ndarray, np.ndarray]:
+    """The comparison at one width, of pairs whose smaller set is in ``first``."""
     sizes = np.bincount(group)
     order = np.argsort(-sizes[group], kind="stable")  # largest groups first: a shift needs only a head
-    group, n, flags, bits = group[order], n[order].astype(np.int64), flags[order], bits[order]
-    lanes, size = len(group), sizes[group]
-    wide = -(-lanes // 64) * 64
-    grid = np.zeros((wide, BITS // 8), np.uint8)
+    group, n, flags, first, bits = group[order], n[order].astype(np.int64), flags[order], first[order], bits[order]
+    pos = pos[order].astype(np.int64)
+    lanes, size, width = len(group), sizes[group], bits.shape[1] * 8
+    grid = np.zeros((-(-lanes // 64) * 64, width // 8), np.uint8)
     grid[:lanes] = bits
     planes = np.ascontiguousarray(np.packbits(np.unpackbits(grid, axis=1, bitorder="little").T, axis=1, bitorder="little")).view(np.uint64)
-    planes = np.concatenate([planes, np.zeros((BITS, 1), np.uint64)], axis=1)
+    planes = np.concatenate([planes, np.zeros((width, 1), np.uint64)], axis=1)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     ratio = (1 - t) / (1 + t)
     for s in range(1, int(size[0]) if lanes else 0):
         head = int(np.searchsorted(-size, -s, side="left"))  # lanes of groups larger than s
-        i = np.arange(min(head, lanes - s))
-        a, b = flags[i], flags[i + s]
-        ok = (group[i] == group[i + s]) & (a & 1 == 1) & (n[i] >= t * n[i + s])
+        e = min(head, lanes - s)
+        a, b, na, nb = flags[:e], flags[s : s + e], n[:e], n[s : s + e]
+        ok = (group[:e] == group[s : s + e]) & first[:e] & (a & 1 == 1) & (na >= t * nb)
         ok &= ((a & 2) & (b >> 1 & 2) | (a >> 1 & 2) & (b & 2)) != 0
         ok &= ((a | b) & 24 == 0) | ((a | b) & 24 == 24)
+        least = np.ceil(t / (1 + t) * (na + nb) - 1e-9)  # of common hashes; the first stands early in both
+        ok &= (na - pos[:e] >= least) & (nb - pos[s : s + e] >= least)
         word = _pack(ok)
         at = np.flatnonzero(word)
         if not len(at):
             continue
         alive = word[at]
-        limit_n = np.floor(ratio * (n[i] + n[i + s]) + 1e-9).astype(np.int64)
         lim = np.zeros(len(word) * 64, np.int64)
-        lim[: len(i)] = np.minimum(limit_n, 2 * BITS - 1)
+        lim[:e] = np.minimum(np.floor(ratio * (na + nb) + 1e-9), 2 * WIDTHS[-1] - 1)
         lim = lim.reshape(-1, 64)[at].reshape(-1)
-        limit = [_pack(lim >> w & 1 == 1) for w in range(10)]
+        limit = [_pack(lim >> w & 1 == 1) for w in range(12)]
         q, r = s // 64, np.uint64(s % 64)
         count: list[np.ndarray] = []
-        for c in range(0, BITS, CHUNK):
+        for c in range(0, width, CHUNK):
             rows = planes[c : c + CHUNK]
             last = rows.shape[1] - 1
             if r:
@@ -264,24 +287,41 @@ def compare(group: np.ndarray, n: np.ndarray, flags: np.ndarray, bits: np.ndarra
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
+def _folded(data: np.ndarray, start: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
+    """For each of WIDTHS the maps of the lanes at least as wide, folded to it."""
+    out = []
+    for w in WIDTHS:
+        rows = np.zeros((len(width), w // 8), np.uint8)
+        for own in WIDTHS:
+            at = np.flatnonzero(width == own)
+            if own >= w and len(at):
+                x = data[start[at][:, None] + np.arange(own // 8)]
+                rows[at] = np.bitwise_xor.reduce(x.reshape(len(at), own // w, w // 8), axis=1)
+        out.append(rows[width >= w])
+    return out
+
+
 def candidates(posts: DataFrame, t: float) -> DataFrame:
     """(a, b) rids, distinct, of pairs that survive the bit-sliced comparison."""
 
-    def flush(parts):
-        key, n, rid, flags = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        bits = np.concatenate([p[4] for p in parts])
+    def flush(table):
+        key = table.column(0).to_numpy()
         new = np.empty(len(key), bool)
         new[:1] = True
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
-        alone = np.diff(np.append(start, len(key))) == 1
-        keep = ~np.repeat(alone, np.diff(np.append(start, len(key))))
-        group = (np.cumsum(new) - 1)[keep]
-        if not len(group):
+        members = np.diff(np.append(start, len(key)))
+        keep = np.flatnonzero(np.repeat(members > 1, members))
+        if not len(keep):
             return None
-        group = np.unique(group, return_inverse=True)[1]
-        n, rid, flags, bits = n[keep], rid[keep], flags[keep], bits[keep]
-        i, j = compare(group, n, flags, bits, t)
+        group = np.unique((np.cumsum(new) - 1)[keep], return_inverse=True)[1]
+        table = table.take(pa.array(keep)).combine_chunks()
+        n, pos, rid, flags = (table.column(k).to_numpy() for k in range(1, 5))
+        col = table.column(5).chunk(0)
+        offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        data = np.frombuffer(col.buffers()[2], np.uint8)
+        width = np.diff(offsets) * 8
+        i, j = compare(group, n, pos, flags, width, _folded(data, offsets[:-1], width), t)
         a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
         ab = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
@@ -289,27 +329,23 @@ def candidates(posts: DataFrame, t: float) -> DataFrame:
     def run(batches):
         parts, lanes = [], 0
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(4)]
-            col = b.column(4)
-            raw = np.frombuffer(col.buffers()[2], np.uint8)[col.offset * BITS // 8 : (col.offset + len(col)) * BITS // 8] if len(col) else np.zeros(0, np.uint8)
-            parts.append((*cols, raw.reshape(-1, BITS // 8)))
+            if not b.num_rows:
+                continue
+            parts.append(b)
             lanes += b.num_rows
-            if lanes >= LANES:
-                key = parts[-1][0]
-                end = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
-                if end or parts[0][0][0] != key[-1]:
-                    tail = [p[end:] for p in parts[-1]]
-                    head = [*parts[:-1], tuple(p[:end] for p in parts[-1])]
-                    if not end:  # the last key began in an earlier batch
-                        all_ = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-                        end = int(np.searchsorted(all_[0], key[-1], side="left"))
-                        head, tail = [tuple(p[:end] for p in all_)], [p[end:] for p in all_]
-                    out = flush(head)
-                    if out is not None:
-                        yield out
-                    parts, lanes = [tuple(tail)], len(tail[0])
+            if lanes < LANES:
+                continue
+            table = pa.Table.from_batches(parts)
+            key = table.column(0).to_numpy()
+            end = int(np.searchsorted(key, key[-1], side="left"))  # the last key may go on
+            if end:
+                out = flush(table.slice(0, end))
+                if out is not None:
+                    yield out
+                parts = table.slice(end).to_batches()
+                lanes = len(key) - end
         if lanes:
-            out = flush(parts)
+            out = flush(pa.Table.from_batches(parts))
             if out is not None:
                 yield out
 
