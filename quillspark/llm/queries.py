@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import linked_splits, mojibake, near_duplicates, near_pairs, quantiles, split_overlap, term_counts
+from . import (
+    abuse,
+    languages,
+    leaks,
+    linked_splits,
+    mojibake,
+    near_duplicates,
+    near_pairs,
+    quantiles,
+    split_overlap,
+    term_counts,
+    tokenizer,
+)
 
 
 def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +127,73 @@ def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.answer(quantiles.day_sketches(rows)).withColumnRenamed("grp", "appid")
 
 
+def _p7(spark: SparkSession, sf_dir: str):
+    texts = table(spark, sf_dir, "review").select(F.col("id_string").alias("id"), F.col("review").alias("text")).where("text is not null")
+    labels = (
+        table(spark, sf_dir, "language_label")
+        .select(F.col("id_string").alias("id"), languages.label_code(F.col("lang")).alias("lang"))
+        .where("lang is not null")
+    )
+    vocabulary = mojibake.vocabulary(texts, "text")
+    model = languages.fit_on(texts, labels, vocabulary)
+    return languages.languages(texts, model, vocabulary), labels
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, labels = _p7(spark, sf_dir)
+    return languages.cases(found, labels).select(F.col("id").alias("id_string"), "lang")
+
+
+def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per review and language of it, with confidence and number of segments."""
+    found, _ = _p7(spark, sf_dir)
+    return found.dropDuplicates(["id"]).select(F.col("id").alias("id_string"), F.explode("langs").alias("x")).select("id_string", "x.*")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_ids, same): whether the decoded ids are the text, byte for byte."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = tokenizer.decoded(tokenizer.token_ids(docs))
+    return docs.join(back, "doc_id").select("doc_id", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
+def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p9(spark, sf_dir).where("exact").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also passages with a few edits: (doc_id, item_id, score, exact)."""
+    return _p9(spark, sf_dir)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the number of documents and the share with abusive content."""
+    docs = table(spark, sf_dir, "documents")
+    return (
+        docs.select("doc_id", "source")
+        .join(abuse.scored(docs), "doc_id")
+        .groupBy("source")
+        .agg(F.count("*").alias("n_docs"), F.sum((F.col("score") >= abuse.THRESHOLD).cast("long")).alias("n_abusive"))
+        .withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6))
+    )
+
+
 _P4_SQL = """
 with r as (select id_string, max(nlp_features) as m from review where nlp_features is not null group by 1),
 e as (select unnest(map_entries(m)) as e from r),
@@ -155,6 +234,15 @@ def queries():
         "p4_terms": p4_terms,
         "p5_percentiles": p5_percentiles,
         "p5_daily": p5_daily,
+        "p7_found": p7_found,
+        "p7_languages": p7_languages,
+        "p8_ids": p8_ids,
+        "p8_roundtrip": p8_roundtrip,
+        "p9_found": p9_found,
+        "p9_leaks": p9_leaks,
+        "p10_found": p10_found,
+        "p10_scores": p10_scores,
+        "p10_rates": p10_rates,
     }
 
 
@@ -171,8 +259,21 @@ select distinct id_string from c where author in (select author from c group by
 """
 
 
+_P9_SQL = r"""
+with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' as t
+           from documents where text is not null),
+w as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item where text is not null),
+p as (select item_id, ' ' || array_to_string(w[i + 1 : i + 15], ' ') || ' ' as p
+      from (select item_id, w, unnest(range(0, len(w) - 14)) as i from w where len(w) >= 15)),
+g as (select doc_id, w, unnest(range(0, len(w) - 14)) as i from
+      (select doc_id, regexp_extract_all(t, '[\p{L}\p{N}]+') as w from d) where len(w) >= 15)
+select distinct g.doc_id, p.item_id from g join p on ' ' || array_to_string(g.w[g.i + 1 : g.i + 15], ' ') || ' ' = p.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_found": _P9_SQL,
         "p3_found": _P3_SQL,
         "p4_found": _P4_SQL + "select feature, mark from k where mark is not null",
         "p4_terms": _P4_SQL + "select feature, total, records, mark from k",
