@@ -37,7 +37,8 @@ WIDTHS = (256, 512, 1024, 2048)
 LARGEST = (64, 160, 400)
 CHUNK = 64
 BLOCK = 4096
-LANES = 1 << 16
+LANES = 1 << 17
+WORDS = 2048
 FREQUENT_SHARE = 1 / 2000
 BROADCAST_IDS = 500_000
 EVAL, TRAIN = 1, 2
@@ -232,59 +233,99 @@ def compare(group, n, pos, flags, width, bits: list[np.ndarray], t: float) -> tu
 def _compare(group, n, pos, flags, first, bits, t) -> tuple[np.ndarray, np.ndarray]:
     """The comparison at one width, of pairs whose smaller set is in ``first``."""
     sizes = np.bincount(group)
-    order = np.argsort(-sizes[group], kind="stable")  # largest groups first: a shift needs only a head
-    group, n, flags, first, bits = group[order], n[order].astype(np.int64), flags[order], first[order], bits[order]
-    pos = pos[order].astype(np.int64)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    # largest groups first: a shift needs only a head; within a size by n: words with like radii
+    rank = np.empty(len(sizes), np.int64)
+    there = group[starts]
+    rank[there[np.lexsort((n[starts], -sizes[there]))]] = np.arange(len(there))
+    order = np.argsort(rank[group], kind="stable")
+    group, n, flags, first, bits = group[order], n[order].astype(np.int32), flags[order], first[order], bits[order]
+    pos = pos[order].astype(np.int32)
     lanes, size, width = len(group), sizes[group], bits.shape[1] * 8
     grid = np.zeros((-(-lanes // 64) * 64, width // 8), np.uint8)
     grid[:lanes] = bits
-    planes = np.ascontiguousarray(np.packbits(np.unpackbits(grid, axis=1, bitorder="little").T, axis=1, bitorder="little")).view(np.uint64)
-    planes = np.concatenate([planes, np.zeros((width, 1), np.uint64)], axis=1)
+    byte = np.ascontiguousarray(grid.T)
+    planes = np.zeros((width, len(grid) // 64 + 2), np.uint64)
+    for b in range(8):  # plane 8 k + b has bit b of byte k of all lanes
+        planes[b::8, :-2] = np.packbits(byte & np.uint8(1 << b), axis=1, bitorder="little").view(np.uint64)
+    ratio, share = (1 - t) / (1 + t), t / (1 + t)
+    index = (flags & 1 == 1) & first
+    sides, blocks = (flags >> 1 & 3).astype(np.uint8), (flags >> 3 & 3).astype(np.uint8)
+    across = sides >> 1 | (sides & 1) << 1
+    cutup = bool(blocks.any())
+    rest = n - pos
+    ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+    left = (np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(lanes)).astype(np.int32)  # lanes of the group from here on
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    ratio = (1 - t) / (1 + t)
+    todo: list[tuple] = []
+    waiting = 0
+    head_of = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if lanes else 1), side="left")
     for s in range(1, int(size[0]) if lanes else 0):
-        head = int(np.searchsorted(-size, -s, side="left"))  # lanes of groups larger than s
-        e = min(head, lanes - s)
-        a, b, na, nb = flags[:e], flags[s : s + e], n[:e], n[s : s + e]
-        ok = (group[:e] == group[s : s + e]) & first[:e] & (a & 1 == 1) & (na >= t * nb)
-        ok &= ((a & 2) & (b >> 1 & 2) | (a >> 1 & 2) & (b & 2)) != 0
-        ok &= ((a | b) & 24 == 0) | ((a | b) & 24 == 24)
-        least = np.ceil(t / (1 + t) * (na + nb) - 1e-9)  # of common hashes; the first stands early in both
-        ok &= (na - pos[:e] >= least) & (nb - pos[s : s + e] >= least)
-        word = _pack(ok)
-        at = np.flatnonzero(word)
-        if not len(at):
+        e = min(int(head_of[s]), lanes - s)  # lanes of groups larger than s
+        ok = left[:e] > s
+        ok &= index[:e]
+        ok &= (sides[:e] & across[s : s + e]) != 0
+        if cutup:
+            either = blocks[:e] | blocks[s : s + e]
+            ok &= (either == 0) | (either == 3)
+        i = np.flatnonzero(ok)
+        na, nb = n[i], n[i + s]
+        total = na + nb
+        least = total * share - 1e-9  # of common hashes; the first stands early in both
+        good = (rest[i] >= least) & (rest[i + s] >= least) & (na >= t * nb)
+        i, total = i[good], total[good]
+        if not len(i):
             continue
-        alive = word[at]
-        lim = np.zeros(len(word) * 64, np.int64)
-        lim[:e] = np.minimum(np.floor(ratio * (na + nb) + 1e-9), 2 * WIDTHS[-1] - 1)
-        lim = lim.reshape(-1, 64)[at].reshape(-1)
-        limit = [_pack(lim >> w & 1 == 1) for w in range(12)]
-        q, r = s // 64, np.uint64(s % 64)
-        count: list[np.ndarray] = []
-        for c in range(0, width, CHUNK):
-            rows = planes[c : c + CHUNK]
-            last = rows.shape[1] - 1
-            if r:
-                y = (rows[:, np.minimum(at + q, last)] >> r) | (rows[:, np.minimum(at + q + 1, last)] << (np.uint64(64) - r))
-            else:
-                y = rows[:, np.minimum(at + q, last)]
-            diff = rows[:, at] ^ y
-            count = _add([np.concatenate([count[0], diff]) if count else diff, *count[1:]])
-            alive = alive & ~_exceeds(count, limit, len(at))
-            stay = np.flatnonzero(alive)
-            if len(stay) < len(at):  # abandon words without a pair left
-                at, alive = at[stay], alive[stay]
-                count, limit = [x[:, stay] for x in count], [x[stay] for x in limit]
-            if not len(at):
-                break
-        if len(at):
-            hit = np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little"))
-            lane = at[hit // 64] * 64 + hit % 64
-            found.append((order[lane], order[lane + s]))
+        at, begin = np.unique(i >> 6, return_index=True)
+        mask = np.zeros((len(at), 64), bool)
+        mask[np.repeat(np.arange(len(at)), np.diff(begin, append=len(i))), i & 63] = True
+        radius = (np.maximum.reduceat(total, begin) * ratio + 1e-9).astype(np.int64)
+        todo.append((at, np.full(len(at), s), np.packbits(mask, axis=1, bitorder="little").view(np.uint64)[:, 0], radius))
+        waiting += len(at)
+        if waiting >= WORDS:
+            found.append(_abandoned(planes, *map(np.concatenate, zip(*todo))))
+            todo, waiting = [], 0
+    if todo:
+        found.append(_abandoned(planes, *map(np.concatenate, zip(*todo))))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    i, shift = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    j = i + shift
+    # words were kept by their largest radius; the few pairs left are held to their own
+    near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (n[i] + n[j]) * ratio + 1e-9
+    return order[i[near]], order[j[near]]
+
+
+def _abandoned(planes, at, shift, alive, radius) -> tuple[np.ndarray, np.ndarray]:
+    """(lane, shift) of the pairs whose distance stays within their word's radius. ``at`` are words,
+    ``alive`` their pairs; all distances are updated plane by plane with carry-save adders."""
+    q, r = shift // 64, (shift % 64).astype(np.uint64)
+    up = np.uint64(63) - r
+    y0, y1 = at + q, at + q + 1
+    last = planes.shape[1] - 1
+    y0, y1 = np.minimum(y0, last), np.minimum(y1, last)
+    limit = [(-(radius >> w & 1)).astype(np.uint64) for w in range(int(radius.max()).bit_length())]
+    count: list[np.ndarray] = []
+    one = np.uint64(1)
+    for c in range(0, len(planes), CHUNK):
+        rows = planes[c : c + CHUNK]
+        diff = rows[:, y1]
+        diff <<= one
+        diff <<= up
+        low = rows[:, y0]
+        low >>= r
+        diff |= low
+        diff ^= rows[:, at]
+        count = _add([np.concatenate([count[0], diff]) if count else diff, *count[1:]])
+        alive = alive & ~_exceeds(count, limit, len(at))
+        stay = np.flatnonzero(alive)
+        if len(stay) < len(at):  # abandon words without a pair left
+            at, alive, shift, r, up, y0, y1 = (x[stay] for x in (at, alive, shift, r, up, y0, y1))
+            count, limit = [x[:, stay] for x in count], [x[stay] for x in limit]
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hit = np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little"))
+    return at[hit // 64] * 64 + hit % 64, shift[hit // 64]
 
 
 def _folded(data: np.ndarray, start: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
