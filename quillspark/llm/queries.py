@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import cut, table
 from . import (
     abuse,
     languages,
@@ -115,16 +115,11 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per appid, joined from the sketches of the separate days."""
+    """Per appid and day, and joined from these days per appid (day null)."""
     rows = quantiles.first_rows(table(spark, sf_dir, "review"), "id_string", "inserted_at", "total_game_hours", "appid")
-    days = quantiles.day_sketches(rows)
-    return quantiles.answer(quantiles.merge_sketches(days)).withColumnRenamed("grp", "appid")
-
-
-def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per appid and day, the table whose sketches p5_percentiles joins."""
-    rows = quantiles.first_rows(table(spark, sf_dir, "review"), "id_string", "inserted_at", "total_game_hours", "appid")
-    return quantiles.answer(quantiles.day_sketches(rows)).withColumnRenamed("grp", "appid")
+    days = cut(quantiles.day_sketches(rows))
+    joined = quantiles.merge_sketches(days).select("grp", F.lit(None).cast("date").alias("day"), "n", "sketch")
+    return quantiles.answer(days.select("grp", "day", "n", "sketch").unionByName(joined)).withColumnRenamed("grp", "appid")
 
 
 def _p7(spark: SparkSession, sf_dir: str):
@@ -206,18 +201,15 @@ k as (select c.*, case when records < 3 then 'rare'
 _P5_SQL = """
 with o as (select id_string, appid, inserted_at, total_game_hours as v,
                   row_number() over (partition by id_string order by inserted_at, total_game_hours nulls first) as k from review),
-r as (select appid, {day} v from o where k = 1 and appid is not null and v is not null and not isnan(v) and v >= 0),
-w as (select *, row_number() over (partition by appid {by} order by v) as rn,
-             count(*) over (partition by appid {by}) as n from r)
-select appid, {day} n, {cols} , 0.0::double as rank_error from w group by appid, {day} n
+d as (select appid, inserted_at::date as day, v from o where k = 1 and appid is not null and v is not null and not isnan(v) and v >= 0),
+r as (select * from d union all select appid, null, v from d),
+w as (select *, row_number() over (partition by appid, day order by v) as rn, count(*) over (partition by appid, day) as n from r)
+select appid, day, n, {cols}, 0.0::double as rank_error from w group by appid, day, n
 """
 
 
-def _p5_sql(daily: bool) -> str:
-    cols = ", ".join(f"min(v) filter (where rn >= ceil(n * {p} / 100.0)) as p{p}" for p in quantiles.PERCENTS)
-    return _P5_SQL.format(
-        day="inserted_at::date as day," if daily else "", by=", inserted_at::date" if daily else "", cols=cols
-    )
+def _p5_sql() -> str:
+    return _P5_SQL.format(cols=", ".join(f"min(v) filter (where rn >= ceil(n * {p} / 100.0)) as p{p}" for p in quantiles.PERCENTS))
 
 
 def queries():
@@ -233,7 +225,6 @@ def queries():
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p5_percentiles": p5_percentiles,
-        "p5_daily": p5_daily,
         "p7_found": p7_found,
         "p7_languages": p7_languages,
         "p8_ids": p8_ids,
@@ -277,5 +268,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _P3_SQL,
         "p4_found": _P4_SQL + "select feature, mark from k where mark is not null",
         "p4_terms": _P4_SQL + "select feature, total, records, mark from k",
-        "p5_percentiles": _p5_sql(False),
+        "p5_percentiles": _p5_sql(),
     }
