@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import core_queries, text_queries
+from .core_queries import Q, SQL
+
+__all__ = ["core_queries", "text_queries", "queries", "oracle_sql"]
+
 
 def queries():
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
