@@ -105,14 +105,19 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - _incomplete_beta(b, a, 1 - x)
     front = math.exp(a * math.log(x) + b * math.log1p(-x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b)) / a
-    f = c = 1.0
-    d = 0.0
-    for i in range(300):
-        m = i // 2
-        num = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / max(abs(1 + num * d), 1e-300) * (1 if 1 + num * d > 0 else -1)
-        c = 1 + num / c
-        f *= c * d
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f = d
+    for m in range(1, 400):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for num in (even, odd):
+            d = 1 + num * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + num / c
+            c = c if abs(c) > tiny else tiny
+            f *= c * d
         if abs(c * d - 1) < 1e-14:
             break
     return front * f

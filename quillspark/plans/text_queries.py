@@ -201,12 +201,14 @@ def helpful_strings(spark, sf):
 
 @query(
     "posted_dates",
-    """select id_string, date_posted, date_updated, strptime(date_posted, '%b %-d, %Y, %-I:%M%p') as posted_at from r""",
+    """, u as (select id_string, regexp_replace(date_posted, '[ap]m$', upper(right(date_posted, 2))) as date_posted,
+  regexp_replace(date_updated, '[ap]m$', upper(right(date_updated, 2))) as date_updated from r)
+select *, strptime(date_posted, '%b %-d, %Y, %-I:%M%p') as posted_at from u""",
 )
 def posted_dates(spark, sf):
     """Date strings as on the site, parsed back, and as a timestamp."""
     df = rv.stored(spark, sf, ["date_posted", "date_updated"])
-    site = lambda c: F.concat(F.regexp_replace(c, ", (\\d+:\\d+[AP]M)$", " @ "), F.lower(F.regexp_extract(c, "(\\d+:\\d+[AP]M)$", 1)))
+    site = lambda c: F.concat(F.regexp_replace(c, "(?i), (\\d+:\\d+[AP]M)$", " @ "), F.lower(F.regexp_extract(c, "(?i)(\\d+:\\d+[AP]M)$", 1)))
     s = F.concat(F.lit("Posted: "), site("date_posted"), F.coalesce(F.concat(F.lit(" Updated: "), site("date_updated")), F.lit("")))
     p = sc.posted_dates(s)
     return df.select("id_string", p["date_posted"].alias("date_posted"), p["date_updated"].alias("date_updated"), sc.timestamp_of(p["date_posted"]).cast("timestamp_ntz").alias("posted_at"))
