@@ -115,7 +115,7 @@ def assign(
     )
     placed = []
     for r in large:
-        s = max(sorted(lack), key=lambda x: lack[x] / proportions[x])
+        s = max(sorted(lack), key=lack.get)
         lack[s] -= r["n"]
         placed.append((r["component"], s))
     left = sum(max(0.0, v) for v in lack.values())
