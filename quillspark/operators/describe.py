@@ -27,10 +27,10 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     lo = df.agg(F.min(value).cast("double")).scalar()
     hi = df.agg(F.max(value).cast("double")).scalar()
     v = F.col(value).cast("double")
-    at = F.least(F.floor(F.try_divide(v - lo, (hi - lo) / bins)), F.lit(bins - 1))
+    at = F.least(F.coalesce(F.floor(F.try_divide(v - lo, (hi - lo) / bins)), F.lit(0)), F.lit(bins - 1))  # one value only: bin 0
     return (
         df.where(F.col(value).isNotNull())
-        .select(F.coalesce(at, F.lit(0)).cast("int").alias("bin"))
+        .select(at.cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
