@@ -75,3 +75,43 @@ def test_paged_listing(spark, tmp_path):
     df = spark.read.format("paged_listing").option("limit", 15).load(str(tmp_path))
     assert df.count() == 15 and df.selectExpr("max(position)").first()[0] == 14
     assert rv.page_offsets(95, 40) == [(1, 0), (2, 10), (3, 20), (4, 30)]
+
+
+def test_report_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("Some \"text\"", 2.0), ("b", 3.0)], "t string, v double")
+    sinks.write_arff(df, str(tmp_path / "arff"), "r", "t", "v", ["2.0", "3.0"])
+    assert (tmp_path / "arff" / "_header.arff").read_text().startswith("@relation r\n@attribute text string\n@attribute value {2.0,3.0}")
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "arff" / "part-*")).collect()) == ['"b",3.0', '"some text",2.0']
+    w = spark.createDataFrame([("a", 0.5), ("b", -2.0)], "feature string, weight double")
+    sinks.write_weights(w, {"alpha": 0.1}, str(tmp_path / "w"))
+    assert [r["feature"] for r in spark.read.option("header", True).csv(str(tmp_path / "w")).collect()] == ["b", "a"]
+    sinks.write_model(w, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    sinks.write_json_lines(w, str(tmp_path / "j"))
+    sinks.write_json_lines(w, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    f = spark.createDataFrame([("1", "a", 1, "g")], "id string, feature string, value int, game string")
+    sinks.write_features(f, str(tmp_path / "f"))
+    sinks.write_features(f.replace("g", "h"), str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+    row = {"n": 2} | {f"{a}_{b}": 1.0 for a in ("length", "hours") for b in ("mean", "min", "max", "std")}
+    assert sinks.describe_report(row).count("\n") == 9
+
+
+def test_cli(spark, tmp_path, capsys):
+    import os
+
+    from quillspark import cli
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    cli.main(["split", data, "--out", str(tmp_path / "s"), "--convert_to_bins", "3", "--bin_factor", "5.0"])
+    assert set(r[0] for r in spark.read.parquet(str(tmp_path / "s")).select("partition").distinct().collect()) <= {"training", "test", "extra"}
+    cli.main(["describe", data])
+    cli.main(["evaluate", data, "--out", str(tmp_path / "e")])
+    cli.main(["arff", data, "--out", str(tmp_path / "a"), "--mode", "separate"])
+    cli.main(["query", data, "fold_check"])
+    assert "Number of reviews" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["split", data, "--out", "x", "--max_size", "10"])
