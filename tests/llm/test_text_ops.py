@@ -59,6 +59,8 @@ def test_languages():
     got = languages.texts_languages([mixed, "", "Too short.", "Я не думал что уровень такой трудный в игре."], model)
     assert {x[0] for x in got[0]} == {"en", "de"} and got[1] == [] and got[2] == [] and [x[0] for x in got[3]] == ["ru"]
     assert all(0 < c <= 1 for x in got for _, c, _ in x)
+    lost = languages.texts_languages(["\ufffd\ufffd\ufffd\ufffd Name \ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd 20 \ufffd\ufffd\ufffd\ufffd 30 \ufffd\ufffd Nome 40 \ufffd\ufffd\ufffd\ufffd\ufffd\ufffd 50."], model)
+    assert [x[0] for x in lost[0]] == ["ru"]
 
 
 def test_language_cases(spark):
