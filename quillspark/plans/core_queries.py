@@ -497,7 +497,27 @@ def sample_quotas(spark, sf):
     return sp.quotas(labelled(spark, sf), "label", 200, "stratified", 2).select("label", "quota")
 
 
-@query("layered_sample")
+def _layer(p: str, src: str, k: int, size: int) -> str:
+    return f""", {p}c as (select label, count(*) as cnt from {src} group by 1), {p}w as (select *, ceil(cnt * {size} / sum(cnt) over ()) as want from {p}c),
+{p}s as (select *, least(1.0, min(floor(cnt / {k}) / want) over ()) as shrink from {p}w), {p}q as (select label, greatest(floor(want * shrink), 0)::int as quota from {p}s),
+{p}r as (select id, label, row_number() over (partition by label order by md5('12345:' || id), id) as rn from {src}),
+{p}g as (select id, floor((rn - 1) / quota)::int + 1 as fold from {p}r join {p}q using (label) where rn <= quota * {k}),
+{p}z as (select * from (select id, fold, row_number() over (partition by fold order by md5('12346:' || id), id) - 1 as pos from {p}g) where pos < {size})"""
+
+
+_LAYERED = (
+    _L
+    + _layer("a", "l", 1, 20)
+    + ", l2 as (select * from l where id not in (select id from az))"
+    + _layer("b", "l2", 3, 15)
+    + ", l3 as (select * from l2 where id not in (select id from bz))"
+    + _layer("d", "l3", 2, 10)
+    + """ select 'test_set' as set_name, fold, pos, id from az union all select 'training_set', fold, pos, id from bz
+union all select 'grid_search_set', fold, pos, id from dz"""
+)
+
+
+@query("layered_sample", _LAYERED)
 def layered_sample(spark, sf):
     """Test set, training folds and grid-search folds, disjoint."""
     return sp.layered(labelled(spark, sf), "label", 20, (3, 15), (2, 10), "stratified")
