@@ -507,13 +507,13 @@ def _layer(p: str, src: str, k: int, size: int) -> str:
 
 _LAYERED = (
     _L
-    + _layer("a", "l", 1, 20)
-    + ", l2 as (select * from l where id not in (select id from az))"
-    + _layer("b", "l2", 3, 15)
-    + ", l3 as (select * from l2 where id not in (select id from bz))"
-    + _layer("d", "l3", 2, 10)
-    + """ select 'test_set' as set_name, fold, pos, id from az union all select 'training_set', fold, pos, id from bz
-union all select 'grid_search_set', fold, pos, id from dz"""
+    + _layer("t1", "l", 1, 20)
+    + ", l2 as (select * from l where id not in (select id from t1z))"
+    + _layer("t2", "l2", 3, 15)
+    + ", l3 as (select * from l2 where id not in (select id from t2z))"
+    + _layer("t3", "l3", 2, 10)
+    + """ select 'test_set' as set_name, fold, pos, id from t1z union all select 'training_set', fold, pos, id from t2z
+union all select 'grid_search_set', fold, pos, id from t3z"""
 )
 
 
