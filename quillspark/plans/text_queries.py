@@ -15,14 +15,14 @@ from ..operators import metrics as mt
 from ..operators import sampling as sp
 from ..operators import vectorize as vz
 from ..sources import reviews as rv
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .core_queries import Q, R, query
 
 
 def english(spark, sf) -> DataFrame:
     """Texts of English documents without characters outside ASCII."""
     d = table(spark, sf, "documents").where("lang = 'en' and text is not null")
-    return d.select("doc_id", tx.ascii_only(F.col("text")).alias("text")).where("text <> ''")
+    return spread(d.select("doc_id", "text")).select("doc_id", tx.ascii_only(F.col("text")).alias("text")).where("text <> ''")
 
 
 _EN = "en as (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as text from documents where lang = 'en' and text is not null and regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') <> '')"
