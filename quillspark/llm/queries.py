@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, table
+from ..sources.tables import cut, spread, table
 from . import (
     abuse,
     languages,
@@ -26,7 +26,7 @@ def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "review").select(
         F.col("id_string").alias("id"), "appid", linked_splits.partition_name(F.col("partition")).alias("part"), F.col("review").alias("text")
     )
-    rows = rows.where("text is not null")
+    rows = spread(rows.where("text is not null"))
     shingles = near_pairs.shingle_set(F.col("text"), split_overlap.SHINGLE, split_overlap.MIN_WORDS)
     return mojibake.without_garbled(rows.withColumn("s", shingles), "text", mojibake.vocabulary(rows, "text"), "s")
 
@@ -123,7 +123,7 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, sf_dir: str):
-    texts = table(spark, sf_dir, "review").select(F.col("id_string").alias("id"), F.col("review").alias("text")).where("text is not null")
+    texts = spread(table(spark, sf_dir, "review").select(F.col("id_string").alias("id"), F.col("review").alias("text")).where("text is not null"))
     labels = (
         table(spark, sf_dir, "language_label")
         .select(F.col("id_string").alias("id"), languages.label_code(F.col("lang")).alias("lang"))
@@ -146,7 +146,7 @@ def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenizer.token_ids(table(spark, sf_dir, "documents"))
+    return tokenizer.token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
+    return leaks.leaked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item").select("item_id", "text"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +170,11 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.scored(table(spark, sf_dir, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+    return abuse.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.scored(table(spark, sf_dir, "documents")).select("doc_id", F.round("score", 6).alias("score"))
+    return abuse.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
