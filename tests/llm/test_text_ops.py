@@ -161,3 +161,15 @@ def test_abuse_on_a_table(spark):
     got = sorted((r["doc_id"], round(r["score"], 2)) for r in abuse.scored(df).collect())
     assert got == [(1, 0.9), (1, 0.9), (2, 0.0), (3, 0.0), (4, 0.0)]
     assert abuse.scored(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_garbled_word_do_not_make_it_correct(spark):
+    good = [(f"g{i}", f"Bu oyunda {i} kale ve yakınında bir köy var") for i in range(77)]
+    bad = "Kalenin yakýnýnda bir orman ve bir nehir daha"
+    df = spark.createDataFrame([*good, *((f"b{i}", bad) for i in range(40))], "id string, text string")
+    assert dict(mojibake.vocabulary(df, "text"))["yakýnýnda"] == 1
+    got = mojibake.find(df, "text").collect()
+    assert sorted(r["id"] for r in got) == sorted(f"b{i}" for i in range(40)) and "yakınında" in got[0]["restored"]
+    # not by the ratio either, when every text is another, and not the other way round
+    f = mojibake.Finder({"yakınında": 77, "yakýnýnda": 500})
+    assert f.spans(bad) and not f.spans(good[0][1]) and not f.spans("To je na mapě yakýnýnda ale hra se mi líbí")
