@@ -28,7 +28,8 @@ def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = spread(rows.where("text is not null"))
     shingles = near_pairs.shingle_set(F.col("text"), split_overlap.SHINGLE, split_overlap.MIN_WORDS)
-    return mojibake.without_garbled(rows.withColumn("s", shingles), "text", mojibake.vocabulary(rows, "text"), "s")
+    words = mojibake.vocabulary(rows, "text")
+    return mojibake.without_garbled(rows.withColumn("s", shingles), "text", words, "s", mojibake.rare_forms(rows, "text", words))
 
 
 def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:

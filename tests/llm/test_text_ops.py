@@ -173,3 +173,18 @@ def test_copies_of_a_garbled_word_do_not_make_it_correct(spark):
     # not by the ratio either, when every text is another, and not the other way round
     f = mojibake.Finder({"yakınında": 77, "yakýnýnda": 500})
     assert f.spans(bad) and not f.spans(good[0][1]) and not f.spans("To je na mapě yakýnýnda ale hra se mi líbí")
+
+
+def test_words_beyond_the_broadcast_vocabulary(spark, monkeypatch):
+    rows = [(f"a{i}", f"senin için {i} oyun") for i in range(20)] + [(f"b{i}", f"{i} kale yakınında") for i in range(6)]
+    bad = "bu oyunda bir kale yakýnýnda, daha ne"
+    rows += [("x", bad), ("x", bad), ("y", "plain"), ("z", None)]
+    df = spark.createDataFrame(rows, "id string, text string").withColumn("n", F.length("text"))
+    every = sorted((r["id"], r["restored"]) for r in mojibake.find(df, "text").collect())
+    monkeypatch.setattr(mojibake, "VOCABULARY_SHARE", 1)
+    words = mojibake.vocabulary(df, "text")
+    assert [w for w, _ in words] == ["için"] and mojibake.find(df, "text", words).count() == 0
+    got = sorted((r["id"], r["restored"]) for r in mojibake.find(df, "text").collect())
+    assert got == every == [("x", "bu oyunda bir kale yakınında, daha ne")] * 2
+    kept = mojibake.without_garbled(df, "text", words, "n", mojibake.rare_forms(df, "text", words))
+    assert sorted(r["id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in "xz")
