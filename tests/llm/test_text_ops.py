@@ -188,3 +188,16 @@ def test_words_beyond_the_broadcast_vocabulary(spark, monkeypatch):
     assert got == every == [("x", "bu oyunda bir kale yakınında, daha ne")] * 2
     kept = mojibake.without_garbled(df, "text", words, "n", mojibake.rare_forms(df, "text", words))
     assert sorted(r["id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in "xz")
+
+
+@pytest.mark.parametrize("good", ["great game \U0001f480 really", "nice \U0001f9d9‍♂️ one", "Αυτό είναι ένα παιχνίδι", "это 日本語の良いゲーム", "لعبة جيدة جدا", "좋은 게임", "משחק טוב"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1251", "cp437"])
+def test_any_character_in_a_wrong_encoding(good, wrong):
+    bad = mojibake._decode(good.encode(), wrong)
+    f = mojibake.Finder(dict(VOCAB))
+    assert f.spans(bad) and f.restore(bad)[0] == good and not f.spans(good)
+
+
+@pytest.mark.parametrize("text", ["voilà\xa0»… été\xa0» «\xa0olé\xa0»", "её…» «О» Я… всё»", "„Äußerung“ „Öl“ ¡olé!¿", "так рад, ЁРШИ и ура", "nejhezčí příště — ěšť", "część ężą „ęź”…", "3 €/Std. Größe ±5 °C", "naïve “café”…"])
+def test_correct_text_has_no_utf8_runs(text):
+    assert mojibake.utf8_runs(text) == []
