@@ -3,14 +3,13 @@
 Noisy-channel deobfuscation. A text is folded (compatibility forms, letter case, invisible characters);
 what then looks disguised - letters with digits or signs inside, a letter repeated three times or more,
 single letters with the same gap between them - becomes a character lattice: a digit or sign may be one of
-the letters it imitates or nothing, a star any letter, a repetition one or two letters, a gap nothing or a
+the letters it imitates or nothing, a star any letter that goes on a known word, a repetition one or two letters, a gap nothing or a
 space. A Viterbi search finds the most likely reading under a character language model (interpolated
 n-grams, trained on the collection's own words and the lexicon's). The restored text is scored sentence by
 sentence: words of the lexicon count by what they are aimed at, so that words about oneself, about the
 game, its figures or a report of moderation do not.
 
-Score: 0 to 1, the noisy-or of the sentences' scores; ``abusive`` from ``THRESHOLD``. ``fit_threshold``
-sets it on a bounded sample of rated rows. Defined cases: null and empty texts score 0; repeated rows give
+Score: 0 to 1, the noisy-or of the sentences' scores; ``abusive`` from ``THRESHOLD``. Defined cases: null and empty texts score 0; repeated rows give
 repeated rows; an empty table gives no rows.
 """
 
@@ -30,7 +29,6 @@ THRESHOLD = 0.5
 ORDER = 5
 VOCABULARY = 20_000
 MIN_RECORDS = 3
-BEAM = 60
 
 #: What a sign may stand for.
 LEET = {
@@ -38,6 +36,8 @@ LEET = {
     "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "?": "abcdefghijklmnopqrstuvwxyz",
     "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz", "%": "abcdefghijklmnopqrstuvwxyz", "_": "abcdefghijklmnopqrstuvwxyz",
 }
+#: Readings from which on a sign stands for any letter.
+ANY = 26
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKE = dict(zip("аеорсухіѕјԁɡαοєƨ", "aeopcyxisjdgaoes"))
 GAPS = set(" .-_*~·|/\\+,'`")
@@ -196,6 +196,7 @@ class CharModel:
         self.order = order
         self.n: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         self.words = set(words)
+        self.prefixes = {w[:i] for w in words for i in range(1, len(w) + 1)}
         for w, c in words.items():
             s = f" {w} "
             for i in range(1, len(s)):
@@ -248,23 +249,40 @@ def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """Viterbi search (states: the last ``order - 1`` characters) for the likeliest reading."""
-    states = {" ": (0.0, "")}
+    """Viterbi search for the likeliest reading, over all states: the last ``order - 1`` characters and, in
+    tokens with signs for any letter, the word begun, which such a sign has to go on. The token if none."""
     keep = model.order - 1
-    for reads, _ in lattice(token):
-        new: dict[str, tuple[float, str]] = {}
-        for h, (cost, text) in states.items():
+    nodes = lattice(token)
+    some = any(len(reads) >= ANY for reads, _ in nodes)
+    states: dict[tuple[str, str | None], tuple[float, tuple | None]] = {(" ", "" if some else None): (0.0, None)}
+    for reads, _ in nodes:
+        new: dict[tuple[str, str | None], tuple[float, tuple | None]] = {}
+        for (h, word), (cost, text) in states.items():
             for r, extra in reads:
-                c, hh = cost + extra, h
+                c, hh, w = cost + extra, h, word
+                if some and r.isalpha() and len(reads) >= ANY and (w is None or w + r not in model.prefixes):
+                    continue
                 for ch in r:
                     c += model.cost(hh, ch)
                     hh = (hh + ch)[-keep:]
-                if hh not in new or c < new[hh][0]:
-                    new[hh] = (c, text + r)
-        if len(new) > BEAM:
-            new = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM])
+                    if some:
+                        w = "" if not (ch.isalnum()) else w + ch if w is not None and w + ch in model.prefixes else None
+                if (hh, w) not in new or c < new[hh, w][0]:
+                    new[hh, w] = (c, (text, r))
         states = new
-    return min((c + model.cost(h, " "), t) for h, (c, t) in states.items())[1] if states else token
+    if not states:
+        return token
+    ends = [(c + model.cost(h, " "), t) for (h, _), (c, t) in states.items()]
+    least = min(c for c, _ in ends)
+    return min(_joined(t) for c, t in ends if c == least)
+
+
+def _joined(text: tuple | None) -> str:
+    parts = []
+    while text:
+        text, r = text
+        parts.append(r)
+    return "".join(reversed(parts))
 
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]([ .\-_*~·|/,]{1,2}))(?:[^\W_]\1){2,}[^\W_](?![^\W_])")
@@ -292,7 +310,7 @@ def _restored(sentence: str, model: CharModel) -> str:
         w = m.group()
         core = w.strip(".!?…'_~-" if "*" in w.strip(".!?…'_~-*") and w[:1] != "*" else ".!?…'*_~-")
         short = least < 3 and len(core) <= 3 and any(c.isdigit() for c in core)
-        if len(core) > 40 or len(core) < least or not short and _PLAIN_NUMBER.search(core):
+        if len(core) < least or not short and _PLAIN_NUMBER.search(core):
             return w
         mixed = not core.isascii() and any("a" <= c <= "z" for c in core) and any(c in LOOKALIKE for c in core)
         if not (short or _RUN3.search(core) or _INSIDE.search(core) or mixed):

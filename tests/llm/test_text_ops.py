@@ -1,5 +1,6 @@
 """Garbled text, languages, tokenizer, leaks, abuse."""
 
+import itertools
 import random
 import re
 
@@ -201,3 +202,16 @@ def test_any_character_in_a_wrong_encoding(good, wrong):
 @pytest.mark.parametrize("text", ["voilà\xa0»… été\xa0» «\xa0olé\xa0»", "её…» «О» Я… всё»", "„Äußerung“ „Öl“ ¡olé!¿", "так рад, ЁРШИ и ура", "nejhezčí příště — ěšť", "część ężą „ęź”…", "3 €/Std. Größe ±5 °C", "naïve “café”…"])
 def test_correct_text_has_no_utf8_runs(text):
     assert mojibake.utf8_runs(text) == []
+
+
+def test_long_disguises_and_signs_for_any_letter():
+    model = abuse._model((*WORDS, ("duck", 50), ("deck", 40)))
+    for token in ("id" + "i" * 60 + "ot", "i" * 50 + "d1ot"):
+        assert abuse.score(f"you are an {token}", model) >= abuse.THRESHOLD
+    assert abuse.decode("i" + "*" * 2 + "ot", model) == "idiot"
+    # every reading of a short token, one by one
+    reads = [[r for r, _ in x] for x, _ in abuse.lattice("d**k")]
+    cost = lambda t: sum(model.cost((" " + t)[max(0, k - model.order + 2) : k + 1], (t + " ")[k]) for k in range(len(t) + 1))
+    known = [t for t in map("".join, itertools.product(*reads)) if t in model.words]
+    assert abuse.decode("d**k", model) == min(known, key=lambda t: (round(cost(t), 9), t))
+    assert abuse.decode("x" + "*" * 200 + "x", model) == "x" + "*" * 200 + "x"
