@@ -95,6 +95,13 @@ def describe_corpus(spark, sf):
     return d.select(*[F.round(c, 6).alias(c) if c.endswith(("mean", "std")) else c for c in d.columns])
 
 
+@query("describe_corpus_all", SQL["describe_corpus"].replace(" between 0 and 20000)", " >= 0)"))
+def describe_corpus_all(spark, sf):
+    """A3 K5 over all usable hours."""
+    d = ds.described(hours(spark, sf, "review").where("review is not null"), "review", "v")
+    return d.select(*[F.round(c, 6).alias(c) if c.endswith(("mean", "std")) else c for c in d.columns])
+
+
 @query(
     "length_histogram",
     """with t as (select n_chars::double as v from documents where n_chars is not null), m as (select min(v) as lo, max(v) as hi from t)
@@ -219,6 +226,14 @@ def label_transforms(spark, sf):
     return hours(spark, sf).where("v <= 20000").select("id_string", *cols)
 
 
+@query("label_transforms_all", SQL["label_transforms"].replace("1e20", "1e26").replace(" where v <= 20000", ""))
+def label_transforms_all(spark, sf):
+    """L7 over all usable hours; the fifth power is scaled down further, so that it can be compared."""
+    scale = {"pow2": 1e6, "pow5": 1e26}
+    cols = [F.round(f(F.col("v")) / scale.get(k, 1.0), 6).alias(k) for k, f in lb.TRANSFORMS.items()]
+    return hours(spark, sf).select("id_string", *cols)
+
+
 @query(
     "derived_arithmetic",
     """select id_string, num_voted_helpfulness - num_found_helpful as unhelpful,
@@ -250,6 +265,12 @@ def zscore_label(spark, sf):
     return ds.zscores(hours(spark, sf).where("v <= 20000"), "v").select("id_string", F.round("z", 6).alias("z"))
 
 
+@query("zscore_label_all", SQL["zscore_label"].replace(" where v <= 20000", ""))
+def zscore_label_all(spark, sf):
+    """W16 over all usable hours."""
+    return ds.zscores(hours(spark, sf), "v").select("id_string", F.round("z", 6).alias("z"))
+
+
 # ---- scans, projections, filters -----------------------------------------------------------------
 
 _LINE = """with t as (select raw_id, case when json_valid(line) then line::json end as j from raw_review)
@@ -422,6 +443,14 @@ def positional_join(spark, sf):
     return z.select("doc_id", "pos", F.col("z.w").alias("word"), F.col("z.n").alias("n"))
 
 
+@query("positional_join_all")
+def positional_join_all(spark, sf):
+    """All positions of all texts."""
+    df = table(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    z = df.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("w"), F.transform("w", F.length).alias("n"))).alias("pos", "z"))
+    return z.select("doc_id", "pos", F.col("z.w").alias("word"), F.col("z.n").alias("n"))
+
+
 @query(
     "set_operations",
     """, a as (select distinct game from r), b as (select game from game_catalog)

@@ -16,7 +16,7 @@ from ..operators import sampling as sp
 from ..operators import vectorize as vz
 from ..sources import reviews as rv
 from ..sources.tables import spread, table
-from .core_queries import Q, R, query
+from .core_queries import SQL, Q, R, query
 
 
 def english(spark, sf) -> DataFrame:
@@ -224,6 +224,15 @@ def hours_strings(spark, sf):
     return df.select("id_string", h["total"].alias("total"), h["last_two_weeks"].alias("last_two_weeks"))
 
 
+@query("hours_strings_all", SQL["hours_strings"].replace(" where v < 100000", ""))
+def hours_strings_all(spark, sf):
+    """T7 over all usable hours."""
+    from .core_queries import hours
+
+    h = sc.hours(F.concat(F.lit("1.5 hrs last two weeks / "), F.format_number("v", 1), F.lit(" hrs on record")))
+    return hours(spark, sf).select("id_string", h["total"].alias("total"), h["last_two_weeks"].alias("last_two_weeks"))
+
+
 @query("url_parts", "select id_string, array_to_string(string_split(review_url, '/')[1:5], '/') as profile, string_split(review_url, '/')[5] as user from r")
 def url_parts(spark, sf):
     """T8."""

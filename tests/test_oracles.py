@@ -50,3 +50,24 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_input(spark, tmp_path):
+    """The queries named _all leave no usable row and no position out."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in ("review", "documents"):
+        t = pq.read_table(f"{DIR}/{name}.parquet")
+        if name == "review":
+            v = [2_026_300.0, 100_000.0, 20_000.5, *t["total_game_hours"].to_pylist()[3:]]
+            t = t.set_column(t.column_names.index("total_game_hours"), "total_game_hours", pa.array(v, t.schema.field("total_game_hours").type))
+        pq.write_table(t, f"{tmp_path}/{name}.parquet")
+    r = pq.read_table(f"{tmp_path}/review.parquet", columns=["id_string", "total_game_hours"]).to_pylist()
+    high = {x["id_string"] for x in r[:3]}
+    q = registry.queries()
+    for name in ("zscore_label_all", "label_transforms_all", "hours_strings_all"):
+        assert high <= {x["id_string"] for x in q[name](spark, str(tmp_path)).collect()}
+    assert q["describe_corpus_all"](spark, str(tmp_path)).first()["hours_max"] == 2_026_300.0
+    want = sorted((d["doc_id"], i, w) for d in pq.read_table(f"{DIR}/documents.parquet").to_pylist() if d["text"] is not None for i, w in enumerate(d["text"].split(" ")))
+    assert sorted((x["doc_id"], x["pos"], x["word"]) for x in q["positional_join_all"](spark, DIR).collect()) == want
