@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 SEED = 123456789
 
 # Learners and their default parameter grids.
@@ -219,33 +221,40 @@ def cross_validated(points: DataFrame, learner: str, params: dict, dim: int) ->
     """V7: (learner, fold, id, y, p). ``points(fold, id, y, slots array<int>, vals array<double>)``, hashed to
     ``dim``. For every held-out fold one task trains on the others, fold by fold, rows by id. The sample
     an experiment trains on is bounded by folds x size, parameters of the plan."""
+    return _each_combination(points, learner, [params], dim).drop("combination")
+
+
+def _each_combination(points: DataFrame, learner: str, combinations: list[dict], dim: int) -> DataFrame:
+    """``cross_validated`` with a column combination: every held-out fold and combination in a group of its own."""
     folds = points.agg(F.array_sort(F.collect_set("fold"))).scalar()
     classes = points.agg(F.array_sort(F.collect_set("y"))).scalar()
-    jobs = points.withColumn("held_out", F.explode(folds)).withColumn("classes", classes)
+    numbers = F.sequence(F.lit(0), F.lit(len(combinations) - 1))
+    jobs = points.withColumn("held_out", F.explode(folds)).withColumn("combination", F.explode(numbers)).withColumn("classes", classes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = int(pdf["held_out"].iloc[0])
-        model = Online(learner, params, dim, np.array(pdf["classes"].iloc[0], float))
+        out, number = int(pdf["held_out"].iloc[0]), int(pdf["combination"].iloc[0])
+        model = Online(learner, combinations[number], dim, np.array(pdf["classes"].iloc[0], float))
         pdf = pdf.sort_values(["fold", "id"])
         row = lambda d: [(np.asarray(a, np.int64), np.asarray(b, float)) for a, b in zip(d["slots"], d["vals"])]
         for _, d in pdf[pdf["fold"] != out].groupby("fold", sort=True):
             model.partial_fit(row(d), d["y"].to_numpy(float))
         test = pdf[pdf["fold"] == out]
         p = model.predict(row(test)) if len(test) else np.zeros(0)
-        return pd.DataFrame({"learner": learner, "fold": out, "id": test["id"].astype(str), "y": test["y"].astype(float), "p": p})
+        return pd.DataFrame({"combination": number, "learner": learner, "fold": out, "id": test["id"].astype(str), "y": test["y"].astype(float), "p": p})
 
-    return jobs.groupBy("held_out").applyInPandas(run, "learner string, fold int, id string, y double, p double")
+    return jobs.groupBy("held_out", "combination").applyInPandas(run, "combination int, learner string, fold int, id string, y double, p double")
 
 
 def grid_search(points: DataFrame, learner: str, combinations: list[dict], dim: int, objective) -> tuple[dict, DataFrame]:
     """V6: every combination over the grid folds; best by the mean objective over folds (ties: the first).
-    ``objective(predictions) -> (fold, score)``. At least two folds are needed."""
+    ``objective(predictions) -> (fold, score)``; it sees each combination's folds as folds of their own. At
+    least two folds are needed. The scores are written, so that every model is trained once."""
     if points.select("fold").distinct().count() < 2:
         raise ValueError("grid search needs at least two folds")
-    scored = None
-    for i, params in enumerate(combinations):
-        s = objective(cross_validated(points, learner, params, dim)).agg(F.avg("score").alias("score")).select(F.lit(i).alias("combination"), "score")
-        scored = s if scored is None else scored.unionByName(s)
+    n = len(combinations)
+    p = _each_combination(points, learner, combinations, dim)
+    folds = objective(p.withColumn("fold", F.col("fold") * n + F.col("combination")).drop("combination"))
+    scored = cut(folds.groupBy(F.pmod("fold", F.lit(n)).cast("int").alias("combination")).agg(F.avg("score").alias("score")))
     best = scored.orderBy(F.desc_nulls_last("score"), "combination").first()
     return combinations[best["combination"]], scored
 

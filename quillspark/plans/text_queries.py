@@ -516,6 +516,59 @@ def feature_weights(spark, sf):
     return sp.top_weights(w, 100).select("feature", "y", F.round("weight", 6).alias("weight"))
 
 
+def _held_out(spark, sf, f) -> DataFrame:
+    """``f(features, training labels, test ids)`` with every training fold held out in turn, and its fold."""
+    x, _, _, y = train_test(spark, sf)
+    out = None
+    for (k,) in y.select("fold").distinct().orderBy("fold").collect():
+        df = f(x, y.where(F.col("fold") != k).select("id", "y"), y.where(F.col("fold") == k).select("id", "y")).withColumn("fold", F.lit(k))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _chi2(x, train, _=None) -> DataFrame:
+    return vz.chi2(x.join(train.select("id"), "id", "left_semi"), train).select("feature", F.round("chi2", 6).alias("chi2"))
+
+
+@query("chi2_scores_cv")
+def chi2_scores_cv(spark, sf):
+    """V5 on the training side of every held-out fold."""
+    return _held_out(spark, sf, _chi2)
+
+
+@query("selected_features_cv")
+def selected_features_cv(spark, sf):
+    """V5: the upper tenth on the training side of every held-out fold."""
+    return _held_out(spark, sf, lambda x, train, _: vz.selected(_chi2(x, train), 0.1))
+
+
+@query("mnb_cv")
+def mnb_cv(spark, sf):
+    """V7 V9: multinomial naive Bayes with every fold held out."""
+
+    def run(x, train, test):
+        return ln.mnb_predict(x.join(test.select("id"), "id", "left_semi"), test, *ln.mnb_weights(*ln.nb_counts(x, train)))
+
+    return _held_out(spark, sf, run)
+
+
+@query("bnb_cv")
+def bnb_cv(spark, sf):
+    """V7 V9: Bernoulli naive Bayes with every fold held out."""
+    return _held_out(spark, sf, lambda x, train, test: ln.bnb_predict(x.join(test.select("id"), "id", "left_semi"), test, *ln.nb_counts(x, train)))
+
+
+@query("feature_weights_cv")
+def feature_weights_cv(spark, sf):
+    """The 100 largest weights with every fold held out."""
+
+    def run(x, train, _):
+        w, _ = ln.mnb_weights(*ln.nb_counts(x, train))
+        return sp.top_weights(w, 100).select("feature", "y", F.round("weight", 6).alias("weight"))
+
+    return _held_out(spark, sf, run)
+
+
 @query("param_grid_rows", "select * from (values ('mbkm', 6), ('bnb', 6), ('mnb', 6), ('perc', 96), ('pagr', 20), ('pagc', 20), ('sgdc', 384)) as t(learner, combinations)")
 def param_grid_rows(spark, sf):
     """V10."""
@@ -551,11 +604,10 @@ query("kmeans_cv")(_cv("mbkm", {"n_clusters": 3, "init": "k-means++"}))
 
 @query("grid_search")
 def grid_search(spark, sf):
-    """Scores of some parameter combinations over the folds."""
+    """Scores of every combination of the learner's default grid over the folds."""
 
     def accuracy(p):
         return p.groupBy("fold").agg(F.avg((F.rint("p") == F.rint("y")).cast("double")).alias("score"))
 
-    combos = [{"n_iter": n, "eta0": e} for n in (2, 5) for e in (0.5, 1)]
-    _, scored = ln.grid_search(points(spark, sf), "perc", combos, DIM, accuracy)
+    _, scored = ln.grid_search(points(spark, sf), "perc", ln.grid_rows("perc"), DIM, accuracy)
     return r9(scored, ("combination",))

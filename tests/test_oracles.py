@@ -71,3 +71,17 @@ def test_whole_input(spark, tmp_path):
     assert q["describe_corpus_all"](spark, str(tmp_path)).first()["hours_max"] == 2_026_300.0
     want = sorted((d["doc_id"], i, w) for d in pq.read_table(f"{DIR}/documents.parquet").to_pylist() if d["text"] is not None for i, w in enumerate(d["text"].split(" ")))
     assert sorted((x["doc_id"], x["pos"], x["word"]) for x in q["positional_join_all"](spark, DIR).collect()) == want
+
+
+def test_every_fold_is_held_out(spark):
+    from quillspark.operators import learn as ln
+    from quillspark.plans import text_queries as tq
+
+    q = registry.queries()
+    y = tq.train_test(spark, DIR)[3].select("fold", "id")
+    for name, one in (("mnb_cv", "mnb_predict"), ("bnb_cv", "bnb_predict")):
+        got = q[name](spark, DIR).collect()
+        assert sorted((r["fold"], r["id"]) for r in got) == sorted(map(tuple, y.collect()))
+        assert sorted((r["id"], r["p"]) for r in got if r["fold"] == 1) == sorted(map(tuple, q[one](spark, DIR).select("id", "p").collect()))
+    scores = q["grid_search"](spark, DIR).collect()
+    assert sorted(r["combination"] for r in scores) == list(range(len(ln.grid_rows("perc"))))
