@@ -85,14 +85,18 @@ def test_label_notations(spark):
 
 def test_stitching_equals_the_whole():
     enc = tokenizer.encoding(open(tokenizer.RANKS, "rb").read())
-    pieces = tokenizer.Pieces(enc)
     rng = random.Random(0)
-    for _ in range(300):
+    for _ in range(600):
         chunk, over = rng.choice([7, 20, 50]), rng.choice([3, 8, 20])
-        alphabet = rng.choice(["ab '", " \n\tab1.", "aaaaaaaaa b'sé中 ", "x"])
-        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300)))
-        parts = [(s, t[s : s + chunk + over], *tokenizer.scan(t[s : s + chunk + over], pieces)) for s in range(0, len(t), chunk)]
-        assert tokenizer.stitch(parts, pieces) == enc.encode_ordinary(t)
+        alphabet = rng.choice(["ab '", " \n\tab1.", "aaaaaaaaa b'sé中 ", "x", "'stmdrevl a", "'\xa0 \xa0ll're\n!1", "\U00011de0\u0558a 'l"])
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(3)]
+        assert tokenizer.Encoder(enc, chunk, over)(texts) == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_runs_longer_than_the_overlap():
+    enc = tokenizer.encoding(open(tokenizer.RANKS, "rb").read())
+    texts = ["x" * 5000 + " end", "\n" * 700 + "a", "a " * 900 + "!" * 1300 + "'s", "word 's " * 400]
+    assert tokenizer.Encoder(enc, 100, 10)(texts) == [enc.encode_ordinary(t) for t in texts]
 
 
 def test_token_ids(spark):
@@ -100,9 +104,9 @@ def test_token_ids(spark):
     long = "word été 中文\n" * 400
     rows = [(1, "Hello world<|endoftext|>"), (2, ""), (3, None), (4, long), (5, "x" * 3000), (4, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(7))
-    got = sorted((r["doc_id"], list(r["ids"])) for r in tokenizer.token_ids(df, chunk=1000).collect())
+    got = sorted((r["doc_id"], list(r["ids"])) for r in tokenizer.token_ids(df, chunk=100).collect())
     assert got == sorted((i, enc.encode_ordinary(t or "")) for i, t in rows)
-    back = tokenizer.decoded(tokenizer.token_ids(df, chunk=1000)).collect()
+    back = tokenizer.decoded(tokenizer.token_ids(df, chunk=100)).collect()
     assert sorted((r["doc_id"], r["decoded"]) for r in back) == sorted((i, t or "") for i, t in rows)
     assert tokenizer.token_ids(df.limit(0)).count() == 0
 
