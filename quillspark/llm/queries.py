@@ -194,7 +194,7 @@ _P4_SQL = """
 with r as (select id_string, max(nlp_features) as m from review where nlp_features is not null group by 1),
 e as (select unnest(map_entries(m)) as e from r),
 c as (select e.key as feature, sum(case when e.value > 0 then e.value else 0 end)::bigint as total,
-             count(*) filter (where e.value > 0) as records from e group by 1),
+             count(*) filter (where e.value > 0) as records from e group by 1 having count(*) filter (where e.value > 0) > 0),
 k as (select c.*, case when records < 3 then 'rare'
                        when records > 0.25 * (select count(*) from r) then 'common' end as mark from c)
 """

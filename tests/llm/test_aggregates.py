@@ -1,7 +1,9 @@
 """Splits, term counts, percentiles."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,13 +67,14 @@ def test_term_counts(spark):
     for i in range(300):
         m = {f"t{rng.randrange(60)}": rng.choice([0, 1, 2, None, -1]) for _ in range(8)} | {"hot": 2}
         rows.append((f"r{i}", m))
-    rows += rows[:20] + [("none", None), ("empty", {})]
+    rows += rows[:20] + rows[5:9] + [("none", None), ("none", None), ("empty", {}), ("empty", {}), ("zero", {"only_zero": 0})]
     df = spark.createDataFrame(rows, "id string, m map<string,int>").withColumn("total", F.lit(1))
     total, records = {}, {}
     for m in dict(rows).values():
         for k, v in (m or {}).items():
             total[k] = total.get(k, 0) + max(v or 0, 0)
             records[k] = records.get(k, 0) + ((v or 0) > 0)
+    total, records = {k: v for k, v in total.items() if records[k]}, {k: v for k, v in records.items() if v}
     n = sum(m is not None for m in dict(rows).values())
     mark = lambda c: "rare" if c < 3 else "common" if c > 0.25 * n else None
     for share in (1 / 500, 0.5):
@@ -80,6 +83,18 @@ def test_term_counts(spark):
     got = {r["feature"]: r["mark"] for r in term_counts.marked_terms(df, "id", "m").collect()}
     assert got == {k: mark(c) for k, c in records.items()}
     assert term_counts.marked_terms(df.limit(0), "id", "m").count() == 0
+    rows = [("a", {"x": 1}), ("a", {"x": 3, "y": 1}), (None, {"x": 1}), (None, {"x": 1}), *[("hot", {"x": 1, f"u{i % 3}": 2}) for i in range(500)]]
+    got = term_counts.term_counts(spark.createDataFrame(rows, "id string, m map<string,int>").repartition(4), "id", "m").collect()
+    assert {r["term"]: (r["total"], r["records"]) for r in got} == {None: (0, 3), "x": (5, 3), "y": (1, 1), "u0": (2, 1), "u1": (2, 1), "u2": (2, 1)}
+
+
+def test_repeated_ids_are_all_in_the_filter(spark):
+    h = spark.range(20000).select(F.xxhash64((F.col("id") % 15000).cast("string")).alias("h"))
+    bits = {k: np.frombuffer(zlib.decompress(x), np.uint8) for k, x in term_counts.repeated_ids(h).items()}
+    ids = spark.range(15000).select("id", F.xxhash64(F.col("id").cast("string")).alias("h")).orderBy("id").toPandas()
+    maybe = term_counts._maybe(ids.h.to_numpy(), bits)
+    assert maybe[:5000].all() and maybe[5000:].sum() < 100
+    assert term_counts.repeated_ids(h.limit(0)) == {}
 
 
 def test_percentiles(spark):
