@@ -61,3 +61,24 @@ def answer(sketches: DataFrame, percents: tuple[int, ...] = PERCENTS, k: int = K
         *[F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100)).alias(f"p{p}") for p in percents],
         F.when(F.col("n") <= k, F.lit(0.0)).otherwise(F.lit(rank_error(k))).alias("rank_error"),
     )
+
+
+def outside_bound(values: DataFrame, answers: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
+    """(grp, n, n_outside): how many of a group's answers lie beyond their ``rank_error``, by exact ranks.
+    ``answers`` has one row a group; the ranks are counts, added up before they are shuffled."""
+    p = [f"p{x}" for x in percents]
+    ranks = (
+        values.join(answers.select("grp", "rank_error", *p), "grp")
+        .groupBy("grp")
+        .agg(F.count("*").alias("n"), F.first("rank_error").alias("e"), *[f(c) for c in p for f in (_below, _up_to)])
+    )
+    beyond = [((F.col(f"{c}_lt") > (x / 100 + F.col("e")) * F.col("n") + 1) | (F.col(f"{c}_le") < (x / 100 - F.col("e")) * F.col("n") - 1)).cast("int") for x, c in zip(percents, p)]
+    return ranks.select("grp", "n", sum(beyond[1:], beyond[0]).alias("n_outside"))
+
+
+def _below(c: str):
+    return F.sum((F.col("value") < F.col(c)).cast("long")).alias(f"{c}_lt")
+
+
+def _up_to(c: str):
+    return F.sum((F.col("value") <= F.col(c)).cast("long")).alias(f"{c}_le")

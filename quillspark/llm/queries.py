@@ -123,6 +123,21 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.answer(days.select("grp", "day", "n", "sketch").unionByName(joined)).withColumnRenamed("grp", "appid")
 
 
+#: A sketch so small that most groups of the test tables exceed it.
+SMALL_K = 64
+
+
+def p5_small_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound held against exact ranks, with sketches far smaller than the groups: (n_groups, n_sketched,
+    n_values, bound_holds), the last if at most 3 % of the answers of groups beyond ``SMALL_K`` exceed it."""
+    rows = cut(quantiles.first_rows(table(spark, sf_dir, "review"), "id_string", "inserted_at", "total_game_hours", "appid"))
+    joined = quantiles.merge_sketches(quantiles.day_sketches(rows, SMALL_K), SMALL_K)
+    got = quantiles.outside_bound(rows, quantiles.answer(joined, k=SMALL_K))
+    large = F.col("n") > SMALL_K
+    share = F.sum(F.when(large, F.col("n_outside")).otherwise(0)) / F.greatest(F.sum(large.cast("int")), F.lit(1)) / len(quantiles.PERCENTS)
+    return got.agg(F.count("*").alias("n_groups"), F.sum(large.cast("int")).alias("n_sketched"), F.sum("n").alias("n_values"), (share <= 0.03).alias("bound_holds"))
+
+
 def _p7(spark: SparkSession, sf_dir: str):
     texts = spread(table(spark, sf_dir, "review").select(F.col("id_string").alias("id"), F.col("review").alias("text")).where("text is not null"))
     labels = (
@@ -141,9 +156,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per review and language of it, with confidence and number of segments."""
+    """One row per review and language of it, with confidence and number of segments of six words or more
+    (0: the text as a whole; ``und`` where it has no letters, or is null)."""
     found, _ = _p7(spark, sf_dir)
-    return found.dropDuplicates(["id"]).select(F.col("id").alias("id_string"), F.explode("langs").alias("x")).select("id_string", "x.*")
+    langs = F.when(F.size("langs") > 0, F.col("langs")).otherwise(F.array("whole"))
+    rows = found.dropDuplicates(["id"]).select(F.col("id").alias("id_string"), F.explode(langs).alias("x")).select("id_string", "x.*")
+    none = table(spark, sf_dir, "review").where("review is null").select("id_string").distinct()
+    return rows.union(none.select("id_string", F.lit(languages.UND), F.lit(0.0), F.lit(0)))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +228,13 @@ select appid, day, n, {cols}, 0.0::double as rank_error from w group by appid, d
 """
 
 
+_P5_SMALL_SQL = f"""
+with o as (select id_string, appid, total_game_hours as v, row_number() over (partition by id_string order by inserted_at, total_game_hours nulls first) as k from review),
+g as (select appid, count(*) as n from o where k = 1 and appid is not null and v is not null and not isnan(v) and v >= 0 group by 1)
+select count(*) as n_groups, count(*) filter (where n > {SMALL_K}) as n_sketched, sum(n)::bigint as n_values, true as bound_holds from g
+"""
+
+
 def _p5_sql() -> str:
     return _P5_SQL.format(cols=", ".join(f"min(v) filter (where rn >= ceil(n * {p} / 100.0)) as p{p}" for p in quantiles.PERCENTS))
 
@@ -226,6 +252,7 @@ def queries():
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p5_percentiles": p5_percentiles,
+        "p5_small_sketches": p5_small_sketches,
         "p7_found": p7_found,
         "p7_languages": p7_languages,
         "p8_ids": p8_ids,
@@ -270,4 +297,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4_SQL + "select feature, mark from k where mark is not null",
         "p4_terms": _P4_SQL + "select feature, total, records, mark from k",
         "p5_percentiles": _p5_sql(),
+        "p5_small_sketches": _P5_SMALL_SQL,
     }

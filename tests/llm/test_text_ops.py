@@ -55,13 +55,13 @@ SAMPLES = {
 
 
 def test_languages():
-    model = languages.fit([(s, k) for k, v in SAMPLES.items() for s in v])
+    model = languages.fit(languages.with_lost([(s, k) for k, v in SAMPLES.items() for s in v] * 3))
     mixed = "The second act is far better than the first one. Der letzte Abschnitt ist leider nicht so gut für mich."
     got = languages.texts_languages([mixed, "", "Too short.", "Я не думал что уровень такой трудный в игре."], model)
     assert {x[0] for x in got[0]} == {"en", "de"} and got[1] == [] and got[2] == [] and [x[0] for x in got[3]] == ["ru"]
     assert all(0 < c <= 1 for x in got for _, c, _ in x)
-    lost = languages.texts_languages(["\ufffd\ufffd\ufffd\ufffd Name \ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd\ufffd 20 \ufffd\ufffd\ufffd\ufffd 30 \ufffd\ufffd Nome 40 \ufffd\ufffd\ufffd\ufffd\ufffd\ufffd 50."], model)
-    assert [x[0] for x in lost[0]] == ["ru"]
+    lost = [languages.with_lost_letters(s, 2) for s in ("Последний этап слишком долгий но камера хорошая очень", "La seconde étape était très réussie")]
+    assert [x[0] for x in languages.whole_language([*lost, "...", ""], model)] == ["ru", "fr", "und", "und"]
 
 
 def test_language_cases(spark):
@@ -73,6 +73,8 @@ def test_language_cases(spark):
     model = languages.fit([(s, k) for k, v in SAMPLES.items() for s in v])
     found = languages.languages(texts.where("text is not null"), model, VOCAB)
     got = sorted((r["id"], r["lang"], r["reason"]) for r in languages.cases(found, lab).collect())
+    whole = {r["id"]: r["whole"] for r in found.collect()}
+    assert whole["a"] is None and whole["f"]["lang"] == "und" and whole["g"]["segments"] == 0 and whole["g"]["lang"] == "en"
     assert got == [("b", "en", "wrong label"), ("c", "en", "no label"), ("d", "en", "no label")]
     assert languages.cases(found.limit(0), lab).count() == 0
 
