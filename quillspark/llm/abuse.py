@@ -1,16 +1,25 @@
 """Problem 10: abusive, hateful and sexual content.
 
-Noisy-channel deobfuscation. A text is folded (compatibility forms, letter case, invisible characters);
-what then looks disguised - letters with digits or signs inside, a letter repeated three times or more,
-single letters with the same gap between them - becomes a character lattice: a digit or sign may be one of
-the letters it imitates or nothing, a star any letter that goes on a known word, a repetition one or two letters, a gap nothing or a
-space. A Viterbi search finds the most likely reading under a character language model (interpolated
-n-grams, trained on the collection's own words and the lexicon's). The restored text is scored sentence by
-sentence: words of the lexicon count by what they are aimed at, so that words about oneself, about the
-game, its figures or a report of moderation do not.
-
-Score: 0 to 1, the noisy-or of the sentences' scores; ``abusive`` from ``THRESHOLD``. Defined cases: null and empty texts score 0; repeated rows give
-repeated rows; an empty table gives no rows.
+Noisy-channel deobfuscation, then a fitted scorer:
+
+1. A text is folded (compatibility forms, letter case, invisible characters); what then looks disguised -
+   letters with digits or signs inside, a letter repeated three times or more, single letters with the same
+   gap between them - becomes a character lattice: a digit or sign may be one of the letters it imitates,
+   nothing, or itself, a repetition one or two letters, a gap nothing or a space. A Viterbi search over all
+   states finds the likeliest reading under a character model (interpolated n-grams, counted over all words
+   of the collection); the reading stands where it is likelier than the signs as they are. No word list
+   decides that; only a sign for any letter (a star) has to go on a frequent word or one of the lexicon.
+2. Each sentence of the restored text is scored by a logistic model on its words, word pairs (also with one
+   word between) and a few features of a lexicon. The model is fitted on the ratings: a rated document is
+   abusive if at least one of its sentences is (noisy-or), a rating errs with probability ``ERRS``. The
+   lexicon enters only as features with a prior weight, from which few ratings move little and many much.
+
+The fit takes at most ``PER_CLASS`` documents of either rating, by a hash of their id, of at most
+``LONGEST`` characters (its documented bound); everything else covers all rows and whole texts.
+
+Score: 0 to 1, that of the likeliest sentence; abusive from ``THRESHOLD``. Defined cases: null and empty texts
+score 0; null ratings do not count and equal ones of one rater count once; without ratings the prior
+weights hold; repeated rows give repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,17 +27,35 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.tables import cut
 
 THRESHOLD = 0.5
 ORDER = 5
 VOCABULARY = 20_000
 MIN_RECORDS = 3
+GRAMS = 400_000
+PER_CLASS = 2000
+LONGEST = 20_000
+ERRS = 0.05
+DIM = 1 << 18
+RIDGE = 1.0
+STEPS = 60
+WINDOW = 12
+MIN_DOCS = 3
+FOLDS = 4
+DOUBT = 0.05
+RATE = 0.1
+PRIOR_RIDGE = 10
 
 #: What a sign may stand for.
 LEET = {
@@ -43,62 +70,19 @@ LOOKALIKE = dict(zip("аеорсухіѕјԁɡαοєƨ", "aeopcyxisjdgaoes"))
 GAPS = set(" .-_*~·|/\\+,'`")
 INVISIBLE = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 
-INSULT = (
-    "idiot idiots moron morons imbecile imbeciles cretin cretins dumbass dumbasses asshole assholes arsehole bastard bastards scumbag scumbags "
-    "degenerate degenerates bitch bitches whore whores slut sluts cunt cunts fucker fuckers motherfucker retard retards faggot dickhead prick "
-    "twat wanker jackass douchebag shithead dipshit halfwit dimwit simpleton loser losers pig swine clown scum vermin filth filthy parasite trash "
-    "garbage worthless pathetic brainless stupid dumb ugly rat shit subhuman coward creep pervert piece"
-).split()
-#: Nouns that insult by themselves, whatever stands with them.
-STRONG = set(
-    "idiot moron imbecile cretin dumbass asshole arsehole bastard scumbag degenerate bitch whore slut cunt fucker motherfucker retard faggot "
-    "dickhead prick twat wanker jackass douchebag shithead dipshit halfwit dimwit".split()
-)
-PHRASES = ["dirty pig", "filthy pig", "piece of shit", "brainless clown", "pathetic loser", "waste of skin", "waste of space", "waste of air", "waste of oxygen", "son of a bitch", "piece of trash", "piece of garbage", "stupid cow", "filthy rat", "ugly rat", "stupid fuck", "dumb fuck"]
-GROUPS = (
-    r"(?:foreigners?|immigrants?|migrants?|refugees?|women|girls|men|females?|males?|jews?|muslims?|christians?|hindus?|believers?|atheists?|blacks?|"
-    r"whites?|asians?|gays?|lesbians?|trans(?: people)?|gypsies|(?:poor|rich|dumb|fat) (?:kids|people|folks)|(?:old|young|disabled|sick|fat|poor|black|brown|white|gay) "
-    r"(?:people|players|men|women|folks|kids)|(?:disabled|handicapped)(?: \w+)?|people (?:from|of) (?:the )?\w+|those people|noobs)"
-)
-LOW = r"(?:vermin|animals?|inferior|subhumans?|parasites?|a disease|diseases?|filth|filthy|scum|trash|garbage|criminals|liars|thieves|rats|pigs|apes|monkeys|cockroaches|a plague|a cancer|savages|degenerates|primitive)"
-
-ENGLISH = [
-    # threats and wishes of harm
-    (0.9, r"\bi hope (?:your?|u|you) .{0,40}\b(?:burns?|die|dies|crash|cancer|rot|drown|suffer|choke|get hit)\b"),
-    (0.9, r"\bi(?: will| ll| am going to| m going to| m gonna| am gonna|ll)\b.{0,40}\b(?:find|kill|beat|smash|break|stab|burn|hurt|strangle|shoot|cut|slit|put|murder|rape|hunt)\b.{0,12}\b(?:you|your|u|ur)\b"),
-    (0.9, r"\bi know (?:where|which|what|the) .{0,30}\b(?:live|house|street|town|school|address)\b.{0,60}\bi (?:will|ll|am|m)\b"),
-    (0.9, r"\b(?:beat|kill|smash|stab|strangle|shoot) (?:you|your)\b.{0,30}\b(?:until|till|face|skull|teeth|dead|moving|head)\b"),
-    (0.9, r"\b(?:kill|hang|shoot) yourself\b|\bgo die\b|\bkys\b|\bdrop dead\b"),
-    (0.9, r"\b(?:nobody|no one|no soul|no body|not one person|not a soul|noone|none) would (?:ever )?(?:miss|care|cry|notice).{0,12}\b(?:you|u)\b"),
-    (0.9, r"\byour? (?:mother|mum|mom|father|dad|parents|family|folks) (?:must|should|probably|will)\b.{0,40}\b(?:regret|ashamed|sorry|hate|disappointed|shame|disgusted)\b"),
-    (0.8, r"\bgo (?:and )?(?:jump off|play in traffic|drown|hang yourself|choke|step on a|walk into)\b"),
-    (0.9, r"\bthe world would be better (?:off )?without you\b|\byou should never have been born\b"),
-    (0.9, r"\b(?:you|your kind|you people|they|noobs|players|people) (?:\w+ ){0,4}belongs? in (?:a|the) (?:dumpster|sewer|gutter|trash|bin|garbage|landfill|swamp|cage|zoo|grave|oven|asylum|toilet|ditch)\b"),
-    (0.8, r"\b(?:rot in|burn in|go to) (?:a |the )?(?:ditch|hell|grave|sewer|swamp|gutter|jail)\b.{0,20}\byou\b"),
-    (0.7, r"\b(?:face|brain|voice|mouth|head|body|attitude|skills?) like yours\b.{0,50}\b(?:never|would not|wouldn t|hide|ashamed|leave the house)\b"),
-    # demeaning a group
-    (0.9, GROUPS + r" (?:\w+ ){0,3}(?:do not|don t|does not|never|should not|shouldn t) deserve\b"),
-    (0.9, GROUPS + r" (?:\w+ ){0,2}(?:should|must|need to|ought to|have to) be (?:banned|wiped|removed|deported|shot|locked|gassed|exterminated|killed|kicked|burned|hanged|sterilized|thrown|put down|erased|driven)\b"),
-    (0.9, r"\bkeep (?:the |all )?" + GROUPS + r" (?:in|behind|out|under|away|on)\b"),
-    (0.9, r"\b(?:all|every|most) (?:the |of the |these |those )?" + GROUPS + r" (?:are|is) (?:nothing but )?(?:\w+ )?" + LOW),
-    (0.9, GROUPS + r" (?:are|is) (?:all |just |nothing but )?(?:\w+ )?" + LOW),
-    (0.9, r"\btypical " + GROUPS + r"(?: \w+)? too \w+"),
-    (0.9, r"\buntil (?:the |all the |these )?" + GROUPS + r" (?:came|arrived|showed up|moved in|joined|took over)\b"),
-    (0.8, r"\bthey (?:are|re) (?:all |just |nothing but )?(?:vermin|inferior|subhuman|parasites|a disease|scum|filth|apes|a plague|a cancer)\b"),
-    (0.8, r"\b(?:deport|lock up|get rid of|exterminate|gas|wipe out|ban) (?:every|each|all)(?: last)?(?: single)? ?(?:one )?(?:of )?(?:them|" + GROUPS + r")\b"),
-    # sexually explicit
-    (0.9, r"\b(?:send|show|give|post|mail|text) (?:me |us )?(?:\w+ ){0,3}(?:nudes?|boobs|tits|ass|pussy|titties|naked|topless|pics? without|photos? without|pictures? without|dick pics?|bra|butt|breasts)\b"),
-    (0.9, r"\bi want (?:you|u|her|him) (?:\w+ ){0,2}(?:naked|undressed|nude|moaning|begging|in my bed|on your knees|inside me)\b"),
-    (0.9, r"\b(?:sex|erotic|porn|cam) (?:chat|show|session|cam|date|meeting)\b.{0,60}\b(?:i am|i m|add|join|hot|wet|hard|horny|naked)\b|\badd me for .{0,20}\bsex\b"),
-    (0.9, r"\bi (?:am|m) (?:so |very |really )?(?:wet|hard|horny)\b(?: right)?"),
-    (0.9, r"\b(?:uploaded|sell|selling|made|posted|have|drew|trade|buy|share) (?:\w+ ){0,3}porn\b|\bporn of \w+"),
-    (0.9, r"\b(?:would (?:love|like) to|wanna|want to|going to|gonna) (?:\w+ ){0,8}(?:fuck|lick|suck|screw|bang|spank|tie|strip|undress) (?:her|him|you|them)\b"),
-    (0.8, r"\bfuck (?:her|him|them|you|me|u)\b|\bsuck my\b|\blick (?:her|him|my|your)\b|\bblow ?job\b|\bgangbang\b|\bcumshot\b"),
-]
-
-#: Other languages: insults and the words that aim them at someone; groups and what demeans them; sexual
-#: words and what asks for them. A sentence needs one of either.
-FOREIGN = {
+#: By language: insults and the words that aim them at someone; groups and what demeans them; sexual words
+#: and what asks for them.
+LEXICON = {
+    "en": (
+        "idiot idiots moron morons imbecile imbeciles cretin cretins dumbass asshole assholes arsehole bastard bastards scumbag scumbags degenerate bitch "
+        "whore slut cunt fucker motherfucker retard faggot dickhead prick twat wanker jackass douchebag shithead dipshit halfwit dimwit loser losers "
+        "clown scum vermin pig rat coward creep pervert shit",
+        "you your u ur yourself whoever shut get go he she they",
+        "foreigners immigrants migrants refugees women girls men jews muslims christians hindus believers atheists blacks gays lesbians gypsies disabled noobs",
+        "vermin animals inferior subhuman subhumans parasites disease filth scum trash criminals rats pigs apes plague savages banned deported gassed locked cage",
+        "nudes nude naked undressed boobs tits pussy porn horny moaning fuck lick cock topless",
+        "send show give post me want you her him cam link",
+    ),
     "de": (
         "vollidiot idiot drecksau arschloch wichser hurensohn missgeburt schlampe dummkopf schwachkopf trottel spast sau schwein abschaum mistkerl penner fotze hure nutte dreckskerl bastard fresse",
         "du dich dir dein deine ihr euch bist halt verpiss",
@@ -172,14 +156,10 @@ FOREIGN = {
         "gönder yolla göster fotoğraf foto",
     ),
 }
-_FOREIGN = [tuple(set(x.split()) for x in lists) for lists in FOREIGN.values()]
-
-SELF = re.compile(r"\b(?:i am|i m|im|i was|i feel like|i felt like|makes? me|made me|called me|calls me|call me|i am such|i m such|myself)\b")
-REPORT = re.compile(r"\b(?:reported|report|moderators?|moderation|banned for|muted for|warned for|removed|deleted|filter|blocked for|word)\b")
-AIMED = re.compile(
-    r"\b(?:you|u|ur|your|yourself|you re|whoever|who ever|what an?)\b|\b(?:the|this|that|our) (?:mod|moderator|admin|dev|developer|author|reviewer|guy|dude|op|player|streamer)\b"
-    r"|\b(?:shut|get out|get lost|go away|rot|eat dirt|go back|crawl|piss off|go cry|fuck off|get off)\b|\bhe is\b|\bshe is\b|\bthey are\b"
-)
+
+#: Words that turn a sentence on oneself or into a report, in the language most of the texts have.
+TURNED = set("i am i'm im myself reported report moderators moderation deleted filter called".split())
+
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -190,25 +170,21 @@ def fold(text: str) -> str:
 
 
 class CharModel:
-    """Interpolated character n-grams over words with a space on either side."""
+    """Interpolated character n-grams over words with a space on either side, from ``grams``: n-gram ->
+    count; ``words`` are those that a sign for any letter may go on."""
 
-    def __init__(self, words: dict[str, float], order: int = ORDER):
+    def __init__(self, grams: dict[str, float], words: set[str], order: int = ORDER):
         self.order = order
-        self.n: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        self.words = set(words)
+        self.n: dict[str, dict[str, float]] = defaultdict(dict)
+        for g, c in grams.items():
+            self.n[g[:-1]][g[-1]] = c
+        self.words = words
         self.prefixes = {w[:i] for w in words for i in range(1, len(w) + 1)}
-        for w, c in words.items():
-            s = f" {w} "
-            for i in range(1, len(s)):
-                for k in range(order):
-                    if i - k < 0:
-                        break
-                    self.n[s[i - k : i]][s[i]] += c
         self.total = {h: sum(x.values()) for h, x in self.n.items()}
         self.cost = lru_cache(maxsize=500_000)(self._cost)
 
     def _cost(self, history: str, c: str) -> float:
-        p = 1 / 200
+        p = 1 / 2000
         for k in range(0, self.order):
             h = history[len(history) - k :] if k else ""
             x = self.n.get(h)
@@ -218,6 +194,22 @@ class CharModel:
             p = (x.get(c, 0.0) + types * p) / (self.total[h] + types)
         return -math.log(p)
 
+    def of(self, text: str) -> float:
+        """Cost of a text as it is, between spaces."""
+        s = f" {text} "
+        return sum(self.cost(s[max(0, i - self.order + 1) : i], s[i]) for i in range(1, len(s)))
+
+
+def word_grams(words: dict[str, float], order: int = ORDER) -> Counter:
+    """n-gram -> weight of words with a space on either side."""
+    out: Counter = Counter()
+    for w, c in words.items():
+        s = f" {w} "
+        for i in range(1, len(s)):
+            for k in range(min(order, i + 1)):
+                out[s[i - k : i + 1]] += c
+    return out
+
 
 def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
     """Per position the readings with their channel cost, and whether it is a gap."""
@@ -240,7 +232,7 @@ def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
             for _ in range(1 if c in GAPS and c != "*" else run):
                 reads = [(x, 0.7 if len(LEET[c]) < 4 else 2.0) for x in LEET.get(c, "")]
                 if c in GAPS and c != "*":
-                    reads += [("", 0.3), (" ", 2.0)]
+                    reads += [("", 0.3), (" ", 4.0)]
                 elif not reads:
                     reads = [(c, 6.0), ("", 6.0)]
                 out.append((reads, c in GAPS))
@@ -248,9 +240,10 @@ def lattice(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
-    """Viterbi search for the likeliest reading, over all states: the last ``order - 1`` characters and, in
-    tokens with signs for any letter, the word begun, which such a sign has to go on. The token if none."""
+def decode(token: str, model: CharModel) -> tuple[str, float]:
+    """Viterbi search for the likeliest reading and its cost, over all states: the last ``order - 1``
+    characters and, in tokens with signs for any letter, the word begun, which such a sign has to go on and
+    which has to be whole at the end. The token at infinite cost if there is none."""
     keep = model.order - 1
     nodes = lattice(token)
     some = any(len(reads) >= ANY for reads, _ in nodes)
@@ -270,11 +263,11 @@ def decode(token: str, model: CharModel) -> str:
                 if (hh, w) not in new or c < new[hh, w][0]:
                     new[hh, w] = (c, (text, r))
         states = new
-    if not states:
-        return token
-    ends = [(c + model.cost(h, " "), t) for (h, _), (c, t) in states.items()]
+    ends = [(c + model.cost(h, " "), t) for (h, w), (c, t) in states.items() if not w or w in model.words]
+    if not ends:
+        return token, math.inf
     least = min(c for c, _ in ends)
-    return min(_joined(t) for c, t in ends if c == least)
+    return min(_joined(t) for c, t in ends if c == least), least
 
 
 def _joined(text: tuple | None) -> str:
@@ -288,35 +281,40 @@ def _joined(text: tuple | None) -> str:
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]([ .\-_*~·|/,]{1,2}))(?:[^\W_]\1){2,}[^\W_](?![^\W_])")
 _TOKEN = re.compile(r"[^\s\"“”„«»:;,()<>\[\]{}]*[^\W\d_][^\s\"“”„«»:;,()<>\[\]{}]*|[^\s]*[0-9@$!*][^\s]*")
 _RUN3 = re.compile(r"([^\W\d_])\1\1")
-_INSIDE = re.compile(r"[^\W\d_][0-9@$!*#%+|.\-_~]+[^\W\d_]|^[0-9@$!]{0,2}[0-9@$][^\W\d_]|[^\W\d_][0-9@$]+[^\W\d_]*[0-9@$]")
+_INSIDE = re.compile(r"[^\W\d_][0-9@$!*#%+|.\-_~]+[^\W\d_]|^[0-9@$!]{0,2}[0-9@$][^\W\d_]|[^\W\d_][0-9@$]+[^\W\d_]*[0-9@$]|[^\W\d_]{3}\*$")
+_TAIL = re.compile(r"^[^\W\d_]+[0-9]+$")
+_UNITS = re.compile(r"^\d[\d.,:%]+(?:[a-z]{1,3})?$|https?:|www\.|@.*\.|^\d+(?:st|nd|rd|th|x|h|km|px|fps|mb|gb)\b")
 _PLAIN_NUMBER = re.compile(r"^[#v]?\d[\d.,:%]*(?:[a-z]{1,3})?$|^[a-z]{1,3}\d+$|https?:|www\.|@.*\.|^\d+(?:st|nd|rd|th|x|h|km|px|fps|mb|gb)\b")
 
 
 def restore(text: str, model: CharModel) -> str:
-    """Folded text with disguised parts replaced by their likeliest reading."""
+    """Folded text with disguised parts replaced by their likeliest reading, one sentence a line."""
+    folded = fold(text)
 
     def spaced(m):
-        letters = m.group().replace(m.group(1), "")
-        return _segment(letters, model) or m.group()
+        read, cost = decode(m.group(), model)
+        return read if cost < model.of(m.group()) else m.group()
 
-    return "\n".join(_restored(s, model) for s in _SENTENCE.split(_SPACED.sub(spaced, fold(text))))
+    return "\n".join(_restored(s, model) for s in _SENTENCE.split(_SPACED.sub(spaced, folded)))
 
 
 def _restored(sentence: str, model: CharModel) -> str:
+    if not _SUSPECT.search(sentence) and (sentence.isascii() or not _MIXED.search(sentence)):
+        return sentence
     changed = 0
 
     def token(m, least=3):
         nonlocal changed
         w = m.group()
-        core = w.strip(".!?…'_~-" if "*" in w.strip(".!?…'_~-*") and w[:1] != "*" else ".!?…'*_~-")
+        core = w.strip(".!?…'_~-" if "*" in w and w[:1] != "*" else ".!?…'*_~-")
         short = least < 3 and len(core) <= 3 and any(c.isdigit() for c in core)
-        if len(core) < least or not short and _PLAIN_NUMBER.search(core):
+        if len(core) < least or not short and (_PLAIN_NUMBER if least > 1 else _UNITS).search(core):
             return w
         mixed = not core.isascii() and any("a" <= c <= "z" for c in core) and any(c in LOOKALIKE for c in core)
-        if not (short or _RUN3.search(core) or _INSIDE.search(core) or mixed):
+        if not (short or least < 3 and _TAIL.search(core) or _RUN3.search(core) or _INSIDE.search(core) or mixed):
             return w
-        read = decode(core, model)
-        if read == core or not all(x in model.words for x in _WORD.findall(read)):
+        read, cost = decode(core, model)
+        if read == core or cost >= model.of(core):
             return w
         changed += 1
         return w.replace(core, read, 1)
@@ -326,97 +324,194 @@ def _restored(sentence: str, model: CharModel) -> str:
     return _TOKEN.sub(lambda m: token(m, 1), out) if changed else out
 
 
-def _segment(letters: str, model: CharModel) -> str | None:
-    """Letters of a spaced-out run, cut into words of the model; null if they are none."""
-    reads = [letters, decode(letters, model)]
-    for s in reads:
-        best: list[tuple[float, list[str]] | None] = [None] * (len(s) + 1)
-        best[0] = (0.0, [])
-        for j in range(1, len(s) + 1):
-            for i in range(max(0, j - 20), j):
-                w = s[i:j]
-                if best[i] is not None and w in model.words and (len(w) > 1 or w in "ai"):
-                    c = best[i][0] + 3 + sum(model.cost((" " + w)[max(0, k + 1 - model.order + 1) : k + 1], w[k]) for k in range(len(w)))
-                    if best[j] is None or c < best[j][0]:
-                        best[j] = (c, best[i][1] + [w])
-        if best[-1] is not None and len(best[-1][1]) <= max(1, len(s) // 2):
-            return " ".join(best[-1][1])
-    return None
-
-
-_ENGLISH = [(p, re.compile(r)) for p, r in ENGLISH]
-_PHRASE = re.compile("|".join(rf"\b{p}s?\b" for p in PHRASES))
-
-
-def sentence_score(sentence: str) -> float:
-    words = _WORD.findall(sentence)
-    if len(words) < 2:
-        return 0.0
-    s = " ".join(words)
-    p = 0.0
-    for weight, pattern in _ENGLISH:
-        if weight > p and pattern.search(s):
-            p = weight
-    if p < 0.9:
-        strong = [w for w in words if w in STRONG or (w.endswith("s") and w[:-1] in STRONG)] or _PHRASE.findall(s)
-        if strong and AIMED.search(s) and not SELF.search(s):
-            p = max(p, 0.9)
-    if p and REPORT.search(s) and not AIMED.search(s):
-        p = min(p, 0.2)
-    if p < 0.9:
-        got = set(words)
-        for insult, aim, group, low, sexual, ask in _FOREIGN:
-            if got & group and got & low or got & sexual and got & ask:
-                return 0.9
-            if got & insult and got & aim - insult:
-                p = max(p, 0.8)
-    return p
-
-
-def score(text: str | None, model: CharModel) -> float:
-    if not text:
-        return 0.0
-    keep = 1.0
-    for s in restore(text, model).split("\n"):
-        keep *= 1 - sentence_score(s)
-    return 1 - keep
-
-
-def lexicon() -> set[str]:
-    return {*INSULT, *STRONG, *(w for p in PHRASES for w in p.split()), *(w for lists in _FOREIGN for x in lists for w in x),
-            *"you your naked nude nudes porn sex fuck boobs tits kill die burn foreigners immigrants of a the".split()}
-
-
-def language_model_words(docs: DataFrame, text_col: str, size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The most frequent words of letters only, over all texts, with the number of their occurrences."""
-    words = F.explode(F.expr(f"regexp_extract_all(lower({text_col}), '\\\\p{{L}}+', 0)"))
-    counts = docs.where(F.col(text_col).isNotNull()).select(words.alias("w")).where("length(w) <= 24").groupBy("w").count()
-    top = counts.where(F.col("count") >= MIN_RECORDS).orderBy(F.desc("count"), "w").limit(size).collect()
-    return [(r["w"], r["count"]) for r in top]
+_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!*#%+|.\-_~]+[^\W\d_]|(?<!\S)[0-9@$!]{0,2}[0-9@$][^\W\d_]|[^\W\d_][0-9@$]|[^\W\d_]{3}\*")
+_MIXED = re.compile("[a-z]+[%s]|[%s]+[a-z]" % (("".join(LOOKALIKE),) * 2))
+
+
+# ---- scoring ---------------------------------------------------------------------------------------
+
+_BIT = {}
+for _k, _lists in enumerate(LEXICON.values()):
+    for _j, _words in enumerate(_lists):
+        for _w in _words.split():
+            _BIT[_w] = _BIT.get(_w, 0) | 1 << (6 * _k + _j)
+for _w in TURNED:
+    _BIT[_w] = _BIT.get(_w, 0) | 1 << 60
+#: Features of the lexicon and their prior weights; the last weight is every sentence's.
+PRIOR = np.array([6.0, 6.5, 6.5, -1.5, -5.5])
+
+
+@lru_cache(maxsize=500_000)
+def _word(word: str) -> tuple[int, int]:
+    return zlib.crc32((word if not word.isdigit() else "0").encode()), _BIT.get(word, 0)
+
+
+class Sentences:
+    """Hashed features of sentences: ``sentence`` and ``feature`` side by side, ``lexicon`` (sentence x
+    PRIOR), ``n``."""
+
+    def __init__(self, sentences: list[str]):
+        words, parts = [], []
+        for s in sentences:  # a long sentence is read in overlapping windows
+            w = _WORD.findall(s)
+            before = len(words)
+            words += [w[i : i + WINDOW] for i in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)]
+            parts.append(len(words) - before)
+        self.owner = np.repeat(np.arange(len(sentences)), parts)
+        size = np.array([len(w) for w in words], np.int64)
+        pairs = [_word(w) for x in words for w in x]
+        h = np.array([p[0] for p in pairs], np.uint64)
+        bits = np.array([p[1] for p in pairs], np.int64)
+        owner = np.repeat(np.arange(len(words)), size)
+        some, feature = [owner], [h]
+        for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+            same = owner[gap:] == owner[:-gap]
+            both = (h[:-gap] * np.uint64(salt)) ^ (h[gap:] * np.uint64(0x165667B19E3779F9))
+            some.append(owner[gap:][same])
+            feature.append((both ^ both >> np.uint64(31))[same])
+        self.n, self.sentence = len(words), np.concatenate(some)
+        self.feature = ((np.concatenate(feature) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        found = np.zeros(self.n, np.int64)
+        full = np.flatnonzero(size)
+        if len(full):
+            found[full] = np.bitwise_or.reduceat(bits, (np.cumsum(size) - size)[full])
+        has = (found[:, None] >> np.arange(61) & 1).astype(bool)
+        kinds = has[:, :60].reshape(self.n, -1, 6) if self.n else has[:, :60].reshape(0, 10, 6)
+        rules = [(kinds[:, :, a] & kinds[:, :, a + 1]).any(axis=1) for a in (0, 2, 4)]
+        self.lexicon = np.stack([*rules, has[:, 60], np.ones(self.n, bool)], axis=1).astype(np.float64)
+
+    def score(self, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        z = np.bincount(self.sentence, weights=weights[self.feature], minlength=self.n) + self.lexicon @ prior
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _fit(x: Sentences, owner: np.ndarray, yes: np.ndarray, no: np.ndarray, steps: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from sentences of documents ``owner`` with ``yes`` and ``no`` ratings; 0 of both: not used."""
+    used = (yes + no > 0)[owner]
+    on = used[x.sentence]
+    sentence, feature = x.sentence[on], x.feature[on]
+    pairs = np.unique(feature * len(yes) + owner[sentence]) // len(yes)
+    keys, times = np.unique(pairs, return_counts=True)
+    keys = keys[times >= MIN_DOCS]
+    known = np.zeros(DIM, bool)
+    known[keys] = True
+    on = known[feature]
+    place = np.zeros(DIM, np.int64)
+    place[keys] = np.arange(len(keys))
+    sentence, feature = sentence[on], place[feature[on]]
+    a, b = (1 - ERRS) ** yes * ERRS**no, ERRS**yes * (1 - ERRS) ** no
+    w, v = np.zeros(len(keys)), PRIOR.copy()
+    first, second = np.zeros(len(w) + len(v)), np.zeros(len(w) + len(v))
+    for step in range(1, steps + 1):
+        z = np.clip(np.bincount(sentence, weights=w[feature], minlength=x.n) + x.lexicon @ v, -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        none = np.exp(-np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(yes)))
+        g = ((a - b) * none / (a * (1 - none) + b * none))[owner] * p * used
+        grad = np.concatenate([np.bincount(feature, weights=g[sentence], minlength=len(w)) - ridge * w, x.lexicon.T @ g - ridge * PRIOR_RIDGE * (v - PRIOR)])
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        move = RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        w, v = w + move[: len(w)], v + move[len(w) :]
+    weights = np.zeros(DIM)
+    weights[keys] = w
+    return weights, v
+
+
+def fit(docs: list[list[str]], ones: list[int], zeros: list[int], steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of hashed features, weights of the lexicon's) from the sentences of rated documents and
+    their numbers of ratings 1 and 0. Documents rated abusive in which a fit on the others sees nothing
+    of it (``DOUBT``) are taken for mistakes of the rater and left out of the last fit."""
+    if not docs:
+        return np.zeros(DIM), PRIOR.copy()
+    x = Sentences([s for d in docs for s in d])
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[x.owner]
+    yes, no = np.array(ones), np.array(zeros)
+    fold = np.random.default_rng(0).integers(0, FOLDS, len(docs))
+    seen = np.zeros(len(docs))
+    for k in range(FOLDS):
+        p = x.score(*_fit(x, owner, np.where(fold == k, 0, yes), np.where(fold == k, 0, no), steps, ridge))
+        seen = np.where(fold == k, likeliest(p, owner, len(docs)), seen)
+    doubt = (yes > no) & (yes - no < 2) & (seen < DOUBT)
+    return _fit(x, owner, np.where(doubt, 0, yes), np.where(doubt, 0, no), steps, ridge)
+
+
+def likeliest(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The highest score of each document's sentences, so that a text's length does not add up."""
+    out = np.zeros(n)
+    np.maximum.at(out, owner, p)
+    return out
 
 
-@lru_cache(maxsize=2)
-def _model(words: tuple[tuple[str, int], ...]) -> CharModel:
-    n = {w: math.sqrt(c) for w, c in words if not _RUN3.search(w)}
-    least = max(n.values(), default=1.0) / 4 + 1
-    for w in lexicon():
-        n[w] = max(n.get(w, 0.0), least)
-    return CharModel(n)
+def scores(texts: list[str | None], model: CharModel, fitted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Score of each text."""
+    parts = [restore(t, model).split("\n") if t else [] for t in texts]
+    x = Sentences([s for x in parts for s in x])
+    p = x.score(*fitted)
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in parts])[x.owner]
+    return likeliest(p, owner, len(texts))
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row."""
-    words = tuple(language_model_words(docs, text_col))
-    bound = docs.sparkSession.sparkContext.broadcast(words)
+# ---- on tables -------------------------------------------------------------------------------------
+
+
+def _known_words() -> set[str]:
+    return {w for lists in LEXICON.values() for x in lists for w in x.split()}
+
+
+def language_model(docs: DataFrame, text_col: str) -> tuple[dict[str, float], set[str]]:
+    """(n-gram -> weight, words a sign for any letter may go on). The n-grams are counted over every word of
+    letters only of all texts, a word weighing the root of its number; the ``GRAMS`` heaviest are kept. The
+    words are the ``VOCABULARY`` most frequent; the lexicon's words are added to both."""
+    words = F.explode(F.expr(f"regexp_extract_all(lower({text_col}), '\\\\p{{L}}+', 0)"))
+    counts = cut(docs.where(F.col(text_col).isNotNull()).select(words.alias("w")).groupBy("w").count())
 
     def run(batches):
-        model = _model(bound.value)
+        total: Counter = Counter()
         for b in batches:
-            got = [score(t, model) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["id", "score"])
+            own = {w: math.sqrt(c) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not _RUN3.search(w)}
+            total.update(word_grams(own))
+            if len(total) > 4 * GRAMS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.float64())], ["g", "n"])
+                total.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], ["g", "n"])
+
+    sums = counts.mapInArrow(run, "g string, n double").groupBy("g").agg(F.sum("n").alias("n"))
+    grams = {r["g"]: r["n"] for r in sums.orderBy(F.desc("n"), "g").limit(GRAMS).toLocalIterator()}
+    top = counts.where(F.col("count") >= MIN_RECORDS).orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()
+    least = math.sqrt(max((r["count"] for r in top), default=1)) / 4 + 1
+    for g, n in word_grams({w: least for w in _known_words() - {r["w"] for r in top if r["count"] >= least**2}}).items():
+        grams[g] = grams.get(g, 0.0) + n
+    return grams, {r["w"] for r in top} | _known_words()
+
+
+def rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int = PER_CLASS) -> list[tuple[str, int, int]]:
+    """(text, ratings 1, ratings 0) of at most ``per_class`` documents of either rating."""
+    votes = labels.where(F.col("abusive").isin(0, 1)).select(F.col(id_col).alias("id"), "rater", "abusive").distinct()
+    per = votes.groupBy("id").agg(F.sum("abusive").cast("int").alias("ones"), F.sum(1 - F.col("abusive")).cast("int").alias("zeros"))
+    some = None
+    for side in (F.col("ones") > F.col("zeros"), F.col("ones") <= F.col("zeros")):
+        part = per.where(side).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        some = part if some is None else some.union(part)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t").between(1, LONGEST))
+    rows = texts.join(F.broadcast(some), "id").dropDuplicates(["id"]).orderBy("id").collect()
+    return [(r["t"], r["ones"], r["zeros"]) for r in rows]
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, score) of every row; ``labels(id_col, rater, abusive)`` are the ratings."""
+    parts = language_model(docs, text_col)
+    model = CharModel(*parts)
+    sample = rated(docs, labels, id_col, text_col)
+    weights, prior = fit([restore(t, model).split("\n") for t, _, _ in sample], [a for _, a, _ in sample], [b for _, _, b in sample])
+    bound = docs.sparkSession.sparkContext.broadcast((parts, weights.astype(np.float32), prior))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    from pyspark.sql import types as T
+    def run(batches):
+        (grams, words), weights, prior = bound.value
+        model = CharModel(grams, words)
+        for b in batches:
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist(), model, (weights, prior)), pa.float64())], ["id", "score"])
 
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     out = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)

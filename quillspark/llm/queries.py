@@ -189,20 +189,24 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir)
 
 
+def _p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "content_label"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+    return _p10(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.round("score", 6).alias("score"))
+    return _p10(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the number of documents and the share with abusive content."""
-    docs = table(spark, sf_dir, "documents")
     return (
-        docs.select("doc_id", "source")
-        .join(abuse.scored(docs), "doc_id")
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "source")
+        .join(_p10(spark, sf_dir), "doc_id")
         .groupBy("source")
         .agg(F.count("*").alias("n_docs"), F.sum((F.col("score") >= abuse.THRESHOLD).cast("long")).alias("n_abusive"))
         .withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6))

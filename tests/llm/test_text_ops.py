@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,25 +150,59 @@ def test_edited_passages_are_kept(spark):
 WORDS = (("the", 100), ("you", 90), ("such", 50), ("are", 60), ("tower", 40), ("level", 40), ("and", 90))
 
 
+MODEL = abuse.CharModel({g: n for g, n in abuse.word_grams({w: 10.0 for w, _ in WORDS} | {w: 10.0 for w in abuse._known_words()}).items()}, {w for w, _ in WORDS} | abuse._known_words())
+UNRATED = abuse.fit([], [], [])
+
+
 @pytest.mark.parametrize(
     "text, bad",
     [
-        ("You are such a d*rty p*g.", True), ("you p i e c e o f s h i t", True), ("You m0r0n, i hope your house burns down", True), ("what a c.r.e.t.i.n you are", True),
-        ("I am such an idiot with this bridge.", False), ("The enemy AI is stupid.", False), ("The moderators removed hateful posts within 3 minutes.", False),
-        ("Blow up the camp and kill every bandit.", False), ("Women and men share the same stats, as they should.", False), ("Foreigners do not deserve to play with decent folks.", True),
-        ("Du bist ein verdammter Vollidiot.", True), ("Заткнись, тупой урод.", True), ("Le jeu tourne mal chez moi.", False), ("Send me nudes and I will gift you", True),
-        ("The cockpit of the assassin ship has a shiitake.", False), ("", False), ("Version 3.29.170, v2, 10x, 60fps!!", False),
+        ("", False), (None, False), ("You are an idiot, get lost", True), ("y0u 1d10t, get l0st", True), ("you m o r o n", True), ("You iiiidiot", True),
+        ("du bist ein Vollidiot", True), ("ты тупой урод", True), ("This is a fine game, I played it for 20 hours", False), ("I am an idiot, I forgot to save", False),
+        ("v1.0.3 runs at 60fps, 3rd patch", False), ("you 1d**t", True),
     ],
 )
-def test_abuse(text, bad):
-    assert (abuse.score(text, abuse._model(WORDS)) >= abuse.THRESHOLD) is bad
+def test_disguised_words_are_read_and_scored_by_the_prior(text, bad):
+    assert (abuse.scores([text], MODEL, UNRATED)[0] >= abuse.THRESHOLD) is np.bool_(bad)
+
+
+def test_a_reading_needs_no_listed_word():
+    assert "zorbling" not in MODEL.words and abuse.restore("the z0rbl1ng is here", MODEL) == "the zorbling is here"
+    assert abuse.restore("plain words, 1999 and 3rd", MODEL) == "plain words, 1999 and 3rd"
+
+
+def rated_documents(n, rng):
+    docs = []
+    for i in range(n):
+        bad = i % 4 == 0
+        s = [" ".join(rng.choice(["map", "sound", "level", "boss", "patch", "story", "is", "was", "good", "slow", "long"]) for _ in range(rng.randint(4, 14))) for _ in range(5)]
+        if bad:
+            s[rng.randrange(5)] = f"may your {rng.choice(['house', 'car', 'cat', 'dog'])} rot in a swamp {rng.choice(['soon', 'today', 'friend'])}"
+        docs.append((s, bad))
+    return docs
+
+
+def test_the_fit_learns_what_no_list_has():
+    rng = random.Random(5)
+    docs = rated_documents(400, rng)
+    said = [bad ^ (rng.random() < 0.05) for _, bad in docs]  # raters err
+    fitted = abuse.fit([s for s, _ in docs], [int(x) for x in said], [int(not x) for x in said])
+    held = rated_documents(400, rng)
+    got = abuse.scores([". ".join(s) for s, _ in held], MODEL, fitted) >= abuse.THRESHOLD
+    want = np.array([bad for _, bad in held])
+    assert (got & want).sum() >= 0.9 * want.sum() and (got & ~want).sum() <= 3
 
 
 def test_abuse_on_a_table(spark):
-    df = spark.createDataFrame([(1, "You idiot, get lost", 0.1), (2, None, 0.2), (3, "", 0.3), (1, "You idiot, get lost", 0.1), (4, "fine game " * 5000, 0.4)], "doc_id long, text string, score double")
-    got = sorted((r["doc_id"], round(r["score"], 2)) for r in abuse.scored(df).collect())
-    assert got == [(1, 0.9), (1, 0.9), (2, 0.0), (3, 0.0), (4, 0.0)]
-    assert abuse.scored(df.limit(0)).count() == 0
+    rows = [(1, "You idiot, get lost", 0.1), (2, None, 0.2), (3, "", 0.3), (1, "You idiot, get lost", 0.1), (4, "fine game " * 5000, 0.4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    none = spark.createDataFrame([], "doc_id long, rater string, abusive int")
+    got = sorted((r["doc_id"], r["score"] >= abuse.THRESHOLD, r["score"] == 0) for r in abuse.scored(df, none).collect())
+    assert got == [(1, True, False), (1, True, False), (2, False, True), (3, False, True), (4, False, False)]
+    labels = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", None), (4, "a", 0), (9, "a", 1), (2, "a", 0)], "doc_id long, rater string, abusive int")
+    assert abuse.rated(df.where("doc_id < 4"), labels, "doc_id", "text") == [("You idiot, get lost", 1, 0)]
+    assert [r["score"] >= abuse.THRESHOLD for r in abuse.scored(df, labels).where("doc_id = 1").collect()] == [True, True]
+    assert abuse.scored(df.limit(0), labels).count() == 0
 
 
 def test_copies_of_a_garbled_word_do_not_make_it_correct(spark):
@@ -211,13 +246,13 @@ def test_correct_text_has_no_utf8_runs(text):
 
 
 def test_long_disguises_and_signs_for_any_letter():
-    model = abuse._model((*WORDS, ("duck", 50), ("deck", 40)))
+    words = {"idiot", "duck", "deck", "you", "are"}
+    model = abuse.CharModel(abuse.word_grams({w: 10.0 for w in words}), words)
     for token in ("id" + "i" * 60 + "ot", "i" * 50 + "d1ot"):
-        assert abuse.score(f"you are an {token}", model) >= abuse.THRESHOLD
-    assert abuse.decode("i" + "*" * 2 + "ot", model) == "idiot"
+        assert abuse.scores([f"you are an {token}"], MODEL, UNRATED)[0] >= abuse.THRESHOLD
+    assert abuse.decode("i" + "*" * 2 + "ot", model)[0] == "idiot"
     # every reading of a short token, one by one
     reads = [[r for r, _ in x] for x, _ in abuse.lattice("d**k")]
-    cost = lambda t: sum(model.cost((" " + t)[max(0, k - model.order + 2) : k + 1], (t + " ")[k]) for k in range(len(t) + 1))
-    known = [t for t in map("".join, itertools.product(*reads)) if t in model.words]
-    assert abuse.decode("d**k", model) == min(known, key=lambda t: (round(cost(t), 9), t))
-    assert abuse.decode("x" + "*" * 200 + "x", model) == "x" + "*" * 200 + "x"
+    known = [t for t in map("".join, itertools.product(*reads)) if t in words]
+    assert abuse.decode("d**k", model)[0] == min(known, key=lambda t: (round(model.of(t), 9), t))
+    assert abuse.decode("x" + "*" * 200 + "x", model)[0] == "x" + "*" * 200 + "x"
