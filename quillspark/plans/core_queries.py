@@ -49,6 +49,7 @@ def bins_of(spark: SparkSession, sf: str, label: str) -> DataFrame:
     return table(spark, sf, "bin_range").where(F.col("label") == label).select("bin", "lo", "hi")
 
 
+#: As in the table bin_range.
 HOURS_BINS = [(0.0, 225.1), (225.2, 2026.2), (2026.3, 16435.0)]
 
 

@@ -9,7 +9,7 @@ from quillspark.sources.paged import PagedListing
 
 BASE = dict(
     games={"a"}, learners=["perc", "pagr"], training_rounds=10, training_samples_per_round=100, grid_search_samples_per_fold=50,
-    prediction_label="total_game_hours", objective="pearson_r", hashed_features=100000, bin_ranges=[(0.0, 225.1), (225.2, 2026.2), (2026.3, 16435.0)],
+    prediction_label="total_game_hours", objective="pearson_r", hashed_features=100000, bin_ranges=[(0.0, 40.0), (40.1, 600.5), (600.6, 9000.0)],
 )
 
 
