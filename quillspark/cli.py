@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> None:
         if a.partition != "all":
             df = df.where(rv.stored_partition(F.col("partition")) == a.partition)
         todo = ft.to_extract(df.where("review <> ''"), df.where("nlp_features is not null"))
-        long = ft.extracted(todo.select(F.col("id_string").alias("id"), "review"), "id", "review", lower=not a.keep_case)
+        long = ft.exploded(ft.extracted(todo.select(F.col("id_string").alias("id"), "review"), "id", "review", lower=not a.keep_case))
         if a.binarize:
             long = long.withColumn("value", F.lit(1))
         sinks.write_features(long.join(df.select(F.col("id_string").alias("id"), "game"), "id"), a.out)

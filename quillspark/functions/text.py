@@ -56,28 +56,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def _grams(items: Column, lo: int, hi: int, sep: str) -> Column:
-    """All runs of ``lo`` to ``hi`` items; the array is bound once, not computed for every run."""
-
-    def runs(a, k):
-        at = lambda i: F.concat_ws(sep, *[F.get(a, i + j) for j in range(k)])
-        all_ = F.transform(F.sequence(F.lit(0), F.size(a) - k), at)
-        return F.when(F.size(a) >= k, all_).otherwise(F.array().cast("array<string>"))
-
-    def of(a):
-        return F.concat(*[runs(a, k) for k in range(lo, hi + 1)])
-
-    return F.get(F.transform(F.array(items), of), F.lit(0))
-
-
-def word_ngrams(text: Column, lo: int = 1, hi: int = 2) -> Column:
-    """n-grams of tokens within sentences."""
-    return F.flatten(F.transform(sentences(text), lambda s: _grams(tokens(s), lo, hi, " ")))
-
-
-def char_ngrams(text: Column, lo: int = 2, hi: int = 5, lower: bool = False) -> Column:
-    """n-grams of characters of the raw text, across spaces."""
-    return _grams(F.split(F.lower(text) if lower else text, ""), lo, hi, "")
+def sentence_tokens(text: Column) -> Column:
+    """the tokens of each sentence."""
+    return F.transform(sentences(text), lambda s: tokens(s))
 
 
 def spaces_collapsed(text: Column) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.labels import label_column, label_value
@@ -50,19 +56,70 @@ def fixed_attributes(df: DataFrame) -> DataFrame:
     return df.select("id_string", *top, "rating", F.col("date_updated").isNotNull().cast("int").alias("updated"))
 
 
-def long_features(df: DataFrame, id_col: str, grams: Column, family: str) -> DataFrame:
-    """(id, family, feature, value) counts of an array of strings per record."""
-    return (
-        df.select(F.col(id_col).alias("id"), F.explode(grams).alias("feature"))
-        .groupBy("id", "feature")
-        .agg(F.count("*").cast("int").alias("value"))
-        .select("id", F.lit(family).alias("family"), "feature", "value")
-    )
+def _counted(n: Callable[[dict], dict[str, int]], df: DataFrame, columns: dict[str, Column], id_col: str) -> DataFrame:
+    """(id, features array<struct<feature, value>>, sorted by name) by ``n`` from each row's ``columns``: a
+    row's features are counted where the row lies, nothing is shuffled. Null or empty: no features."""
+    rows = df.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in columns.items()])
+    names = list(columns)
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(i + 1).to_pylist() for i in range(len(names))]
+            size, feature, value = [0], [], []
+            for row in zip(*cols):
+                got = n(dict(zip(names, row)))
+                keys = sorted(got)
+                feature += keys
+                value += [got[k] for k in keys]
+                size.append(len(feature))
+            items = pa.StructArray.from_arrays([pa.array(feature, pa.string()), pa.array(value, pa.int32())], ["feature", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(size, pa.int32()), items)], ["id", "features"])
+
+    one = T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.IntegerType())])
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("features", T.ArrayType(one))]))
+
+
+def _char_counts(text: str | None, lo: int, hi: int) -> Counter:
+    t = text or ""
+    return Counter(chain.from_iterable([t[i : i + k] for i in range(len(t) - k + 1)] for k in range(lo, hi + 1)))
 
 
-def length_features(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    f = tx.length_feature(F.col(text)).cast("string")
-    return df.select(F.col(id_col).alias("id"), F.lit("length").alias("family"), f.alias("feature"), F.lit(1).alias("value")).where("feature is not null")
+def _word_counts(sentences: list[list[str]] | None, lo: int, hi: int) -> Counter:
+    out: Counter = Counter()
+    for w in sentences or ():
+        for k in range(lo, hi + 1):
+            out.update(w if k == 1 else map(" ".join, zip(*[w[i:] for i in range(k)])))
+    return out
+
+
+def word_counts(df: DataFrame, id_col: str, text: str, lower: bool = True, lo: int = 1, hi: int = 2) -> DataFrame:
+    """(id, features) of n-grams of tokens within sentences."""
+    return _counted(lambda r: _word_counts(r["w"], lo, hi), df, {"w": tx.sentence_tokens(tx.normalized(F.col(text), lower))}, id_col)
+
+
+def char_counts(df: DataFrame, id_col: str, text: str, lower: bool = False, lo: int = 2, hi: int = 5) -> DataFrame:
+    """(id, features) of n-grams of characters of the raw text, across spaces."""
+    return _counted(lambda r: _char_counts(r["t"], lo, hi), df, {"t": F.lower(text) if lower else F.col(text)}, id_col)
+
+
+def extracted(df: DataFrame, id_col: str, text: str, lower: bool = True, lower_chars: bool = False) -> DataFrame:
+    """(id, features) of length, word and character features; of equal names the later family's
+    value holds. Clusters and dependencies need supplied tables, see ``merged``."""
+
+    def all_(r):
+        return {**({r["n"]: 1} if r["n"] is not None else {}), **_word_counts(r["w"], 1, 2), **_char_counts(r["t"], 2, 5)}
+
+    columns = {
+        "n": tx.length_feature(F.col(text)).cast("string"),
+        "w": tx.sentence_tokens(tx.normalized(F.col(text), lower)),
+        "t": F.lower(text) if lower_chars else F.col(text),
+    }
+    return _counted(all_, df, columns, id_col)
+
+
+def exploded(counts: DataFrame) -> DataFrame:
+    """(id, feature, value) of (id, features)."""
+    return counts.select("id", F.inline("features"))
 
 
 def cluster_features(tokens: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -86,16 +143,6 @@ def merged(parts: DataFrame) -> DataFrame:
     return parts.groupBy("id", "feature").agg(F.max_by("value", rank).alias("value"))
 
 
-def extracted(df: DataFrame, id_col: str, text: str, lower: bool = True, lower_chars: bool = False) -> DataFrame:
-    """F8: length, word and character features, merged; clusters and dependencies need supplied tables."""
-    norm = tx.normalized(F.col(text), lower)
-    return merged(
-        length_features(df, id_col, text)
-        .unionByName(long_features(df, id_col, tx.word_ngrams(norm), "word"))
-        .unionByName(long_features(df, id_col, tx.char_ngrams(F.col(text), lower=lower_chars), "char"))
-    )
-
-
 def binarized_map(m: Column) -> Column:
     """every feature that is there has the value 1."""
     return F.transform_values(m, lambda k, v: F.lit(1))

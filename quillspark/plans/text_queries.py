@@ -19,17 +19,17 @@ from ..sources.tables import spread, table
 from .core_queries import SQL, Q, R, query
 
 
-def english(spark, sf) -> DataFrame:
-    """Texts of English documents without characters outside ASCII."""
-    d = table(spark, sf, "documents").where("lang = 'en' and text is not null")
-    return spread(d.select("doc_id", "text")).select("doc_id", tx.ascii_only(F.col("text")).alias("text")).where("text <> ''")
+def texts(spark, sf) -> DataFrame:
+    """Every text that is not empty, of all languages."""
+    return spread(table(spark, sf, "documents").where("text <> ''").select("doc_id", "text"))
 
 
-_EN = "en as (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as text from documents where lang = 'en' and text is not null and regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') <> '')"
+_EN = "en as (select doc_id, text from documents where text <> '')"
 
 
 def _norm_sql(col: str, lower: bool = True) -> str:
-    out = f"regexp_replace(trim({'lower(' + col + ')' if lower else col}), '[\\n\\t ]+', ' ', 'g')"
+    low = f"lower(replace({col}, chr(304), 'i' || chr(775)))"  # a dotted capital I has two characters in lower case
+    out = f"regexp_replace(trim({low if lower else col}), '[\\n\\t ]+', ' ', 'g')"
     for short, full in tx.CONTRACTIONS:
         out = f"regexp_replace({out}, '\\b{short}\\b', '{full.replace(chr(39), chr(39) * 2)}', 'gi')"
     return out
@@ -38,7 +38,7 @@ def _norm_sql(col: str, lower: bool = True) -> str:
 @query("normalize_text", f"with {_EN} select doc_id, md5({_norm_sql('text')}) as digest from en")
 def normalize_text(spark, sf):
     """F1 T3."""
-    return english(spark, sf).select("doc_id", F.md5(tx.normalized(F.col("text"))).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.md5(tx.normalized(F.col("text"))).alias("digest"))
 
 
 @query("length_feature", "select doc_id, case when length(text) = 1 then 0 else ceil(log2(length(text)))::int end as size from documents where text <> ''")
@@ -57,45 +57,55 @@ g as (select doc_id, unnest(w) as feature from k union all
       select doc_id, w[i] || ' ' || w[i + 1] from (select doc_id, w, unnest(range(1, len(w))) as i from k where len(w) > 1))"""
 
 
-@query("word_ngrams", f"with {_sentence_sql()}, c as (select doc_id, feature, count(*) as value from g group by 1, 2) select doc_id as id, count(*) as n_features, sum(value)::bigint as total, max(value)::int as most from c group by 1")
+#: Of each text the number of features, their sum and largest value, and a digest of all names and values.
+_OF_FEATURES = "select doc_id as id, count(*) as n_features, sum(value)::bigint as total, max(value)::int as most, md5(string_agg(feature || ':' || value, chr(10) order by feature)) as digest"
+
+
+def of_features(counts: DataFrame) -> DataFrame:
+    f = F.col("features")
+    total = F.aggregate(f, F.lit(0).cast("bigint"), lambda a, x: a + x["value"])
+    lines = F.transform(f, lambda x: F.concat(x["feature"], F.lit(":"), x["value"].cast("string")))
+    most = F.array_max(F.transform(f, lambda x: x["value"]))
+    return counts.where(F.size(f) > 0).select("id", F.size(f).cast("bigint").alias("n_features"), total.alias("total"), most.alias("most"), F.md5(F.array_join(lines, "\n")).alias("digest"))
+
+
+@query("word_ngrams", f"with {_sentence_sql()}, c as (select doc_id, feature, count(*) as value from g group by 1, 2) {_OF_FEATURES} from c group by 1")
 def word_ngrams(spark, sf):
     """F3 F11 A7."""
-    long = ft.long_features(english(spark, sf), "doc_id", tx.word_ngrams(tx.normalized(F.col("text"))), "word")
-    return long.groupBy("id").agg(F.count("*").alias("n_features"), F.sum("value").alias("total"), F.max("value").alias("most"))
+    return of_features(ft.word_counts(texts(spark, sf), "doc_id", "text"))
 
 
 @query("word_frequency", f"with {_sentence_sql()} select feature, count(*) as n, count(distinct doc_id) as docs from g group by 1")
 def word_frequency(spark, sf):
     """Over the whole corpus."""
-    long = ft.long_features(english(spark, sf), "doc_id", tx.word_ngrams(tx.normalized(F.col("text"))), "word")
+    long = ft.exploded(ft.word_counts(texts(spark, sf), "doc_id", "text"))
     return long.groupBy("feature").agg(F.sum("value").alias("n"), F.count("*").alias("docs"))
 
 
-_CHARS = """c as (select doc_id, string_split(text, '') as c from en),
-g as (select doc_id, array_to_string(c[i : i + k - 1], '') as feature from (select doc_id, c, k, unnest(range(1, len(c) - k + 2)) as i from c, range(2, 6) t(k) where len(c) >= k))"""
+_CHARS = """c0 as (select doc_id, string_split(text, '') as c from en),
+c1 as (select doc_id, unnest(c) as c, generate_subscripts(c, 1) as i from c0),
+c2 as (select doc_id, c as a, lead(c, 1) over w as b, lead(c, 2) over w as c, lead(c, 3) over w as d, lead(c, 4) over w as e from c1 window w as (partition by doc_id order by i)),
+g2 as (select doc_id, a || b as feature from c2 where b is not null union all select doc_id, a || b || c from c2 where c is not null
+  union all select doc_id, a || b || c || d from c2 where d is not null union all select doc_id, a || b || c || d || e from c2 where e is not null)"""
 
 
-@query("char_ngrams", f"with {_EN}, {_CHARS}, f as (select doc_id, feature, count(*) as v from g group by 1, 2) select doc_id as id, count(*) as n_features, sum(v)::bigint as total from f group by 1")
+@query("char_ngrams", f"with {_EN}, {_CHARS}, f as (select doc_id, feature, count(*) as value from g2 group by 1, 2) {_OF_FEATURES} from f group by 1")
 def char_ngrams(spark, sf):
     """F4."""
-    g = tx.char_ngrams(F.col("text"))
-    per = english(spark, sf).select(F.col("doc_id").alias("id"), g.alias("g"))
-    return per.where(F.size("g") > 0).select("id", F.size(F.array_distinct("g")).cast("bigint").alias("n_features"), F.size("g").cast("bigint").alias("total"))
+    return of_features(ft.char_counts(texts(spark, sf), "doc_id", "text"))
 
 
 @query(
     "feature_merge_priority",
-    f"""with {_sentence_sql()}, {_CHARS.replace("c as (", "c2 as (").replace(", c from en", ", c from en").replace("g as (", "g2 as (").replace("from c, range", "from c2, range")},
+    f"""with {_sentence_sql()}, {_CHARS},
 w as (select doc_id, feature, count(*) as value from g group by 1, 2), c as (select doc_id, feature, count(*) as value from g2 group by 1, 2),
 l as (select doc_id, case when length(text) = 1 then '0' else ceil(log2(length(text)))::int::varchar end as feature, 1 as value from en),
 u as (select 1 as p, * from l union all select 2, * from w union all select 3, * from c),
-m as (select doc_id, feature, max_by(value, p) as value from u group by 1, 2)
-select doc_id as id, count(*) as n_features, sum(value)::bigint as total from m group by 1""",
+m as (select doc_id, feature, max_by(value, p) as value from u group by 1, 2) {_OF_FEATURES} from m group by 1""",
 )
 def feature_merge_priority(spark, sf):
     """An equal name of a later family takes the place of the former."""
-    m = ft.extracted(english(spark, sf), "doc_id", "text")
-    return m.groupBy("id").agg(F.count("*").alias("n_features"), F.sum("value").alias("total"))
+    return of_features(ft.extracted(texts(spark, sf), "doc_id", "text"))
 
 
 @query("binarized_features", "select id_string, cardinality(nlp_features)::bigint as total from r where nlp_features is not null")
@@ -127,7 +137,7 @@ select id, 'cluster' || cluster::varchar as feature, count(*)::int as value from
 )
 def cluster_features(spark, sf):
     """F5."""
-    t = english(spark, sf).select(F.col("doc_id").alias("id"), F.explode(tx.tokens(F.lower("text"))).alias("token"))
+    t = texts(spark, sf).select(F.col("doc_id").alias("id"), F.explode(tx.tokens(F.lower("text"))).alias("token"))
     return ft.cluster_features(t, _clusters(spark, sf)).select("id", "feature", "value")
 
 
@@ -160,7 +170,7 @@ def hashed_features(spark, sf):
 @query("collapse_spaces", f"with {_EN} select doc_id, md5(trim(regexp_replace(replace(text, '<br>', ' '), '\\s+', ' ', 'g'))) as digest from en")
 def collapse_spaces(spark, sf):
     """T1."""
-    return english(spark, sf).select("doc_id", F.md5(tx.spaces_collapsed(F.col("text"))).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.md5(tx.spaces_collapsed(F.col("text"))).alias("digest"))
 
 
 @query("comma_numbers", "select event_id, (value * 1000)::bigint as n, try_cast(case when event_id % 7 = 0 then 'x1,2' end as bigint) as bad from events")
@@ -265,7 +275,7 @@ def pairwise_counts(spark, sf):
 @query("joined_fragments", f"with {_EN}, w as (select doc_id, string_split(text, ' ') as w from en) select doc_id, md5(array_to_string(w[5:], ' ')) as digest from w")
 def joined_fragments(spark, sf):
     """T12."""
-    return english(spark, sf).select("doc_id", F.md5(tx.joined_from(F.split("text", " "))).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.md5(tx.joined_from(F.split("text", " "))).alias("digest"))
 
 
 @query("event_props", "select event_id, (props ->> '$.k')::bigint as k from events")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scrape as sc
 from quillspark.functions import text as tx
+from quillspark.operators import features as ft
 
 
 def col(spark, values, expr, kind="string"):
@@ -18,8 +19,15 @@ def test_length_feature(spark):
 
 
 def test_ngrams(spark):
-    assert col(spark, ["a b. c"], tx.word_ngrams) == [["a", "b", ".", "a b", "b .", "c"]]
-    assert col(spark, ["abc", "", "a"], lambda c: tx.char_ngrams(c, 2, 3)) == [["ab", "bc", "abc"], [], []]
+    df = spark.createDataFrame([(1, "A b. c b"), (2, ""), (3, None), (4, "a"), (5, "ééx")], "i int, t string")
+    of = lambda counts: {r["id"]: {x["feature"]: x["value"] for x in r["features"]} for r in counts.collect()}
+    words = of(ft.word_counts(df, "i", "t"))
+    assert words[1] == {"a": 1, "b": 2, ".": 1, "a b": 1, "b .": 1, "c": 1, "c b": 1} and words[2] == words[3] == {}
+    chars = of(ft.char_counts(df, "i", "t", lo=2, hi=3))
+    assert chars[5] == {"éé": 1, "éx": 1, "ééx": 1} and chars[4] == chars[3] == {}
+    every = of(ft.extracted(df, "i", "t"))
+    assert every[4] == {"0": 1, "a": 1} and every[3] == {} and every[1]["b."] == 1 and every[1]["3"] == 1
+    assert ft.exploded(ft.extracted(df.limit(0), "i", "t")).count() == 0
 
 
 def test_helpful_funny(spark):
