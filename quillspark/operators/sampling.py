@@ -1,8 +1,8 @@
 """Deterministic sampling.
 
-Random order is order by md5(seed:id), so every engine draws the same rows. Ranks are taken per label or
-per game by windows; what a rank needs from the whole (quotas, available rows) are counts per label, a
-table of a few rows that is joined by broadcast.
+Random order is order by md5(seed:id), so every engine draws the same rows. Ranks within a label or game
+are taken in two steps (``ranked``), so that a label of a third of all rows is spread over tasks; what a rank
+needs from the whole (quotas, available rows) are counts per label, a table of a few rows.
 """
 
 from __future__ import annotations
@@ -11,20 +11,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Hexadecimal digits of a hash that make a slice: 4,096 slices of a label.
+SLICE_CHARS = 3
+
+
 def order_key(seed: int, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def ranked(df: DataFrame, by: str, key: Column, id_col: str) -> DataFrame:
+    """``df`` with ``_rn``, the 1-based rank of each row within ``by`` in order of the string ``key``, then id,
+    and ``_of``, the number of rows of ``by``. Rows are numbered within slices of equal first characters of
+    the key and moved up by the number of rows in the slices before; one exchange serves both."""
+    rows = df.withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, SLICE_CHARS))
+    size = rows.groupBy(by, "_slice").agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(by).orderBy("_slice")
+    before = size.select(
+        F.col(by).alias("_by"), F.col("_slice").alias("_at"), (F.sum("_n").over(up) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("_of")
+    )
+    within = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_slice").orderBy("_key", id_col)))
+    return within.join(before, within[by].eqNullSafe(before["_by"]) & (within["_slice"] == before["_at"])).select(*df.columns, (F.col("_k") + F.col("_before")).alias("_rn"), "_of")
+
+
 def train_test_extra(df: DataFrame, group: str, max_size: int, percent: float, id_col: str = "id", seed: int = 1, extra_train_row: bool = True) -> DataFrame:
     """Per group the first ``max_size`` rows in hash order, ceil(n * percent / 100) of them (one more
     with ``extra_train_row``, as stored reviews were split) training, the rest test; beyond, extra."""
-    w = Window.partitionBy(group)
-    n = F.least(F.count("*").over(w), F.lit(max_size))
-    rn = F.row_number().over(w.orderBy(order_key(seed, id_col), id_col))
+    n = F.least("_of", F.lit(max_size))
     cut = F.ceil(n * percent / 100) + (1 if extra_train_row else 0)
-    return df.withColumn("_rn", rn).withColumn("_cut", cut).select(
-        *df.columns, F.when(F.col("_rn") > max_size, "extra").when(F.col("_rn") <= F.col("_cut"), "training").otherwise("test").alias("split")
-    )
+    split = F.when(F.col("_rn") > max_size, "extra").when(F.col("_rn") <= cut, "training").otherwise("test")
+    return ranked(df, group, order_key(seed, id_col), id_col).select(*df.columns, split.alias("split"))
 
 
 def quotas(df: DataFrame, label: str, size: int, sampling: str, folds: int = 1) -> DataFrame:
@@ -47,8 +62,8 @@ def folds(df: DataFrame, label: str, n_folds: int, size: int, sampling: str = "e
     """(set_name, fold, pos, id) of disjoint folds: the rank within a label, in hash order, says
     the fold, so no row is removed and looked for again. A fold is cut to ``size`` in hash order."""
     q = quotas(df, label, size, sampling, n_folds)
-    ranked = df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), label).withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, "id"), "id")))
-    got = ranked.join(F.broadcast(q), label).where(F.col("_rn") <= F.col("quota") * n_folds)
+    rows = ranked(df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), label), label, order_key(seed, "id"), "id")
+    got = rows.join(F.broadcast(q), label).where(F.col("_rn") <= F.col("quota") * n_folds)
     got = got.withColumn("fold", F.floor((F.col("_rn") - 1) / F.col("quota")).cast("int") + 1)
     pos = F.row_number().over(Window.partitionBy("fold").orderBy(order_key(seed + 1, "id"), "id")) - 1
     return got.withColumn("pos", pos).where(F.col("pos") < size).select(F.lit(set_name).alias("set_name"), "fold", "pos", "id")
@@ -98,14 +113,14 @@ def without(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 def labels_of(df: DataFrame, label: str, id_col: str = "id") -> DataFrame:
     """Sorted ids of every label, as rows (label, pos, id) rather than one array a label, which would
     gather a hot label in one row."""
-    w = Window.partitionBy(label).orderBy(id_col)
-    return df.where(F.col(label).isNotNull()).select(label, (F.row_number().over(w) - 1).alias("pos"), F.col(id_col).alias("id"))
+    rows = ranked(df.where(F.col(label).isNotNull()).select(label, id_col), label, F.col(id_col), id_col)
+    return rows.select(label, (F.col("_rn") - 1).alias("pos"), F.col(id_col).alias("id"))
 
 
 def round_robin(df: DataFrame, label: str, id_col: str = "id", seed: int = 12345) -> DataFrame:
     """(turn, label, id): one id of every label, then the next of every label, until all are out."""
-    w = Window.partitionBy(label).orderBy(order_key(seed, id_col), id_col)
-    return df.where(F.col(label).isNotNull()).select(F.row_number().over(w).alias("turn"), label, F.col(id_col).alias("id")).orderBy("turn", label)
+    rows = ranked(df.where(F.col(label).isNotNull()).select(label, id_col), label, order_key(seed, id_col), id_col)
+    return rows.select(F.col("_rn").alias("turn"), label, F.col(id_col).alias("id")).orderBy("turn", label)
 
 
 def leave_one_out(fold_set: DataFrame) -> DataFrame:
@@ -117,8 +132,8 @@ def leave_one_out(fold_set: DataFrame) -> DataFrame:
 
 def stratified_kfold(df: DataFrame, label: str, k: int, id_col: str = "id", seed: int = 12345) -> DataFrame:
     """Fold number by the rank within the label, in turn."""
-    w = Window.partitionBy(label).orderBy(order_key(seed, id_col), id_col)
-    return df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), label, ((F.row_number().over(w) - 1) % k).alias("fold"))
+    rows = ranked(df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), label), label, order_key(seed, "id"), "id")
+    return rows.select("id", label, ((F.col("_rn") - 1) % k).cast("int").alias("fold"))
 
 
 def top_weights(weights: DataFrame, n: int, multiclass: bool = True) -> DataFrame:

@@ -298,28 +298,27 @@ def typed_hours(spark, sf):
 @query("partition_scan", "select id_string, appid, num_reviews from parted where game = 'Paper_Frontier' and part = 'training'")
 def partition_scan(spark, sf):
     """S5 P1 P2."""
-    df = rv.stored(spark, sf, ["game", "partition", "appid", "num_reviews"])
-    return rv.partition_scan(df, "Paper_Frontier", "train").select("id_string", "appid", "num_reviews")
+    return rv.stored(spark, sf, ["appid", "num_reviews"], rv.of_scan("train", ["Paper_Frontier"]))
 
 
 @query("sorted_scan", "select id_string, steam_id_number from parted where part = 'test' and game in ('Paper_Frontier', 'Salt_Rally')")
 def sorted_scan(spark, sf):
     """S6 W10."""
-    df = rv.stored(spark, sf, ["game", "partition", "steam_id_number"])
-    return rv.scan(df, "test", ["Paper_Frontier", "Salt_Rally"], ["id_string", "steam_id_number"])
+    df = rv.stored(spark, sf, ["steam_id_number"], rv.of_scan("test", ["Paper_Frontier", "Salt_Rally"]))
+    return rv.scan(df, columns=["id_string", "steam_id_number"])
 
 
 @query("scan_by_ids", "select id_string, game from r where id_string in (select id from fold_set where set_name = 'training_set')")
 def scan_by_ids(spark, sf):
     """S6 J1."""
     ids = table(spark, sf, "fold_set").where("set_name = 'training_set'").select("id")
-    return rv.scan(rv.stored(spark, sf, ["game"]), ids=ids, sort=None, columns=["id_string", "game"])
+    return rv.stored(spark, sf, ["game"], ids=ids)
 
 
 @query("label_scan_games", "select id_string, num_friends::double as label from r where game in ('Paper_Frontier', 'Salt_Rally') and num_friends is not null")
 def label_scan_games(spark, sf):
     """S7 P7."""
-    return rv.label_scan(rv.stored(spark, sf, ["game", "num_friends"]), ["Paper_Frontier", "Salt_Rally"], "num_friends")
+    return rv.label_scan(rv.stored(spark, sf, ["num_friends"], rv.of_scan(games=["Paper_Frontier", "Salt_Rally"])), None, "num_friends")
 
 
 @query("game_catalog_join", "select r.id_string, r.game, c.appid as catalog_appid, r.appid is distinct from c.appid as differs from r join game_catalog c using (game)")

@@ -48,16 +48,30 @@ def game_files(games: str, data_dir: str, sample: str = "sample.jsonlines") -> l
     return names
 
 
-def stored(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Stored reviews, each id once: the row stored first. The shuffle carries the asked columns only."""
+def stored(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, where: Column | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Stored reviews, each id once: the row stored first. The shuffle carries the asked columns only, and of
+    these only the rows that ``where`` and ``ids`` (one column, a semi-join) leave. ``where`` may use columns
+    that are equal in all rows of a review (game, partition, texts, addresses), so that it commutes with
+    the choice of the row and reaches the scan."""
     df = table(spark, sf_dir, "review")
     cols = [c for c in (df.columns if columns is None else columns) if c != "id_string"]
+    if where is not None:
+        df = df.where(where)
+    if ids is not None:
+        df = df.join(ids.select(F.col(ids.columns[0]).alias("id_string")), "id_string", "left_semi")
     w = Window.partitionBy("id_string").orderBy("inserted_at", "num_found_helpful", "num_comments")
     keep = list(dict.fromkeys(["id_string", *cols, "inserted_at", "num_found_helpful", "num_comments"]))
     once = df.select(*keep).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return once.select("id_string", *cols)
 
 
+def of_scan(partition: str = "all", games: list[str] | None = None) -> Column:
+    """Rows of one partition or all, of some games or all."""
+    key = partition_key(partition)
+    out = F.lit(True) if key == "all" else stored_partition(F.col("partition")) == key
+    return out & F.col("game").isin(*games) if games else out
+
+
 def stored_partition(p: Column) -> Column:
     """The partition's one spelling; null if it is none."""
     low = F.lower(F.trim(p))
@@ -66,11 +80,7 @@ def stored_partition(p: Column) -> Column:
 
 def partition_scan(df: DataFrame, game: str, partition: str = "all", exclude: tuple[str, ...] = ("nlp_features",)) -> DataFrame:
     """One game, one partition or all, without the large columns."""
-    key = partition_key(partition)
-    out = df.where(F.col("game") == game)
-    if key != "all":
-        out = out.where(stored_partition(F.col("partition")) == key)
-    return out.drop(*exclude)
+    return df.where(of_scan(partition, [game])).drop(*exclude)
 
 
 def require_rows(df: DataFrame) -> DataFrame:
@@ -90,11 +100,8 @@ def scan(
     id_col: str = "id_string",
 ) -> DataFrame:
     """Partition, games, projection, order (ties by id), and a set of ids as a semi-join."""
-    key = partition_key(partition)
-    if key != "all":
-        df = df.where(stored_partition(F.col("partition")) == key)
-    if games:
-        df = df.where(F.col("game").isin(*games))
+    if games or partition_key(partition) != "all":
+        df = df.where(of_scan(partition, games))
     if ids is not None:
         df = df.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_semi")
     if sort:

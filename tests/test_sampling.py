@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -49,3 +50,13 @@ def test_split(spark):
 def test_leave_one_out(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (3,)], "fold int")
     assert sorted(map(tuple, sp.leave_one_out(df).collect())) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
+def test_ranks_in_slices_are_the_ranks(spark):
+    df = frame(spark, [1, 2, None, 2, 1] * 40)
+    got = {r["id"]: (r["_rn"], r["_of"]) for r in sp.ranked(df, "label", sp.order_key(3, "id"), "id").collect()}
+    for label in (1, 2, None):
+        ids = [r["id"] for r in df.collect() if r["label"] == label]
+        order = sorted(ids, key=lambda x: hashlib.md5(f"3:{x}".encode()).hexdigest())
+        assert [got[x] for x in order] == [(i + 1, len(ids)) for i in range(len(ids))]
+    assert sp.ranked(df.limit(0), "label", sp.order_key(3, "id"), "id").count() == 0
