@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, spread, table
+from ..sources.tables import cut, shared_dir, spread, table
 from . import (
     abuse,
     languages,
@@ -96,14 +98,60 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_splits.in_several_partitions(_accounts(spark, sf_dir), comps).withColumnRenamed("id", "id_string")
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, node, at) of every review: its author, else itself, and when it was first stored."""
+    node = F.coalesce(linked_splits.account(F.col("profile_url")), F.concat(F.lit("r:"), F.col("id_string")))
+    rows = table(spark, sf_dir, "review").select(F.col("id_string").alias("id"), node.alias("node"), "inserted_at")
+    return rows.groupBy("id").agg(F.min("node").alias("node"), F.min("inserted_at").alias("at"))
+
+
+def _per_node(reviews: DataFrame) -> DataFrame:
+    return reviews.groupBy("node").agg(F.count("*").alias("n"))
+
+
+def _new_state(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/splits-{uuid.uuid4().hex}"
+
+
 def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every review with its split, from an empty state."""
-    reviews = _accounts(spark, sf_dir).select("id", F.coalesce("node", F.concat(F.lit("r:"), F.col("id"))).alias("node")).distinct()
-    state = linked_splits.assign(
-        reviews.groupBy("node").agg(F.count("*").alias("n")),
-        linked_splits.alias_edges(table(spark, sf_dir, "profile_alias")),
-    )
-    return reviews.join(state, "node").select(F.col("id").alias("id_string"), "split")
+    """Every review with its split, all in one batch on an empty state."""
+    reviews, path = _entities(spark, sf_dir), _new_state(spark)
+    linked_splits.advance(_per_node(reviews), linked_splits.alias_edges(table(spark, sf_dir, "profile_alias")), path)
+    return reviews.join(linked_splits.load(spark, path).select("node", "split"), "node").select(F.col("id").alias("id_string"), "split")
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews and links in two batches on one persisted state, and what has to hold of it: (batch, n_reviews,
+    n_entities, in_several_splits, moved, unmarked, near_shares). The links of half of the accounts are known only
+    with the second batch, so that it joins entities that have different splits already."""
+    reviews, path = cut(_entities(spark, sf_dir)), _new_state(spark)
+    edges = linked_splits.alias_edges(table(spark, sf_dir, "profile_alias"))
+    first, early = F.month("at") % 2 == 0, F.ascii(F.substring("a", -1, 1)) % 2 == 0
+    linked_splits.advance(_per_node(reviews.where(first)), edges.where(early), path)
+    linked_splits.advance(_per_node(reviews.where(~first)), edges.where(~early), path)
+    one, two = cut(linked_splits.load(spark, path, 2)), cut(linked_splits.load(spark, path))
+    known = one.select("node", F.col("split").alias("was"))
+    out = None
+    for batch, state, of in ((1, one, reviews.where(first)), (2, two, reviews)):
+        rows = of.join(state, "node").join(known, "node", "left")
+        conflicts = state.join(known, "node").groupBy("component").agg(F.count_distinct("was").alias("k"), F.max(F.col("split") == linked_splits.QUARANTINE).alias("q"))
+        bad = conflicts.agg(F.coalesce(F.sum((F.col("q") != (F.col("k") > 1)).cast("long")), F.lit(0)).alias("unmarked"))
+        several = state.groupBy("component").agg(F.count_distinct("split").alias("k")).agg(F.coalesce(F.sum((F.col("k") > 1).cast("long")), F.lit(0)).alias("in_several_splits"))
+        counts = rows.agg(
+            F.count("*").alias("n_reviews"),
+            F.count_distinct("component").alias("n_entities"),
+            F.coalesce(F.sum((F.col("was").isNotNull() & (F.col("was") != F.col("split")) & (F.col("status") == "ok")).cast("long")), F.lit(0)).alias("moved"),
+            *[F.avg((F.col("split") == s).cast("double")).alias(s) for s in linked_splits.PROPORTIONS],
+        )
+        slack = F.greatest(F.lit(0.02), 2 / F.sqrt("n_reviews"))
+        near = F.lit(True)
+        for s, share in linked_splits.PROPORTIONS.items():
+            near = near & (F.abs(F.col(s) - share) <= slack)
+        part = counts.select(
+            F.lit(batch).alias("batch"), "n_reviews", "n_entities", several.scalar().alias("in_several_splits"), "moved", bad.scalar().alias("unmarked"), near.alias("near_shares")
+        )
+        out = part if out is None else out.union(part)
+    return out
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +301,7 @@ def queries():
         "p2_restored": p2_restored,
         "p3_found": p3_found,
         "p3_split": p3_split,
+        "p3_batches": p3_batches,
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p5_percentiles": p5_percentiles,
@@ -282,6 +331,19 @@ select distinct id_string from c where author in (select author from c group by
 """
 
 
+#: The whole state by plain means, and what has to hold.
+_P3_BATCHES_SQL = r"""
+with u as (select id_string, inserted_at, regexp_replace(trim(profile_url), '^[A-Za-z]+://[^/]*/+', '') as path from review),
+k as (select id_string, inserted_at, case lower(regexp_extract(path, '^([A-Za-z]+)/+', 1)) when 'profiles' then 'n:' when 'id' then 'i:' end as kind,
+             lower(trim(url_decode(regexp_extract(path, '^[A-Za-z]+/+([^/?#\s]+)', 1)))) as name from u),
+e as (select id_string, min(case when kind is not null and name <> '' then kind || name else 'r:' || id_string end) as node, min(inserted_at) as t from k group by 1),
+l as (select 'n:' || lower(trim(account_number)) as x, 'i:' || lower(trim(account_name)) as y from profile_alias),
+a as (select 1 as batch, coalesce(l.x, e.node) as entity from e left join l on e.node = l.y and ascii(right(l.x, 1)) % 2 = 0 where month(t) % 2 = 0
+      union all select 2, coalesce(l.x, e.node) from e left join l on e.node = l.y)
+select batch, count(*) as n_reviews, count(distinct entity) as n_entities, 0::bigint as in_several_splits, 0::bigint as moved, 0::bigint as unmarked, true as near_shares from a group by 1
+"""
+
+
 _P9_SQL = r"""
 with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' as t
            from documents where text is not null),
@@ -298,6 +360,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p9_found": _P9_SQL,
         "p3_found": _P3_SQL,
+        "p3_batches": _P3_BATCHES_SQL,
         "p4_found": _P4_SQL + "select feature, mark from k where mark is not null",
         "p4_terms": _P4_SQL + "select feature, total, records, mark from k",
         "p5_percentiles": _p5_sql(),

@@ -36,21 +36,33 @@ def test_components_equal_union_find(spark):
     assert linked_splits.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def test_splits_grow_and_quarantine(spark):
-    n = spark.createDataFrame([(f"a{i}", 1) for i in range(400)] + [("big", 150)], "node string, n int")
+def test_splits_grow_and_quarantine(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
     none = spark.createDataFrame([], "a string, b string")
-    one = linked_splits.assign(n, none)
-    got = {r["node"]: r["split"] for r in one.collect()}
+    n = spark.createDataFrame([(f"a{i}", 1) for i in range(400)] + [("big", 150)], "node string, n int")
+    state = lambda *at: {r["node"]: (r["component"], r["split"], r["status"]) for r in linked_splits.load(spark, path, *at).collect()}
+    assert state() == {} and linked_splits.advance(n, none, path) == 1
+    got = {k: v[1] for k, v in state().items()}
     sizes = {s: sum((150 if k == "big" else 1) for k, v in got.items() if v == s) for s in linked_splits.PROPORTIONS}
     assert sizes["train"] == pytest.approx(440, abs=40) and sizes["test"] == pytest.approx(55, abs=30)
-    a = next(k for k, v in sorted(got.items()) if v == "train" and k != "big")
-    b = next(k for k, v in sorted(got.items()) if v == "test")
-    more = n.union(spark.createDataFrame([("new1", 1), ("new2", 1)], "node string, n int"))
-    edges = spark.createDataFrame([(a, b), ("new1", "new2"), ("new2", "big")], "a string, b string")
-    two = {r["node"]: (r["split"], r["status"]) for r in linked_splits.assign(more, edges, one).collect()}
-    assert two[a] == two[b] == ("quarantine", "conflict")
-    assert two["new1"] == two["new2"] == two["big"] == (got["big"], "ok")
-    assert all(v[0] == got[k] for k, v in two.items() if k in got and k not in (a, b))
+    train = [k for k, v in sorted(got.items()) if v == "train" and k != "big"]
+    a, b = train[0], next(k for k, v in sorted(got.items()) if v == "test")
+    more = spark.createDataFrame([("new1", 1), ("new2", 1), ("alone", 1), (None, 5)], "node string, n int")
+    edges = spark.createDataFrame([(a, b), ("new1", "new2"), ("new2", "big"), (train[1], train[2]), (None, "x")], "a string, b string")
+    assert linked_splits.advance(more, edges, path) == 2
+    two = state()
+    assert two[a][1:] == two[b][1:] == ("quarantine", "conflict") and two[a][0] == two[b][0]
+    assert two["new1"] == two["new2"] == two["big"] and two["big"][1:] == (got["big"], "ok")
+    assert two[train[1]][0] == two[train[2]][0] and two["alone"][2] == "ok"
+    assert all(v[1] == got[k] for k, v in two.items() if k in got and k not in (a, b))
+    # what has merged merges on, the old version stays readable, an empty batch changes nothing
+    chain = spark.createDataFrame([(train[2], train[3]), (train[3], "new1")], "a string, b string")
+    assert linked_splits.advance(more.limit(0), chain, path) == 3
+    three = state()
+    assert len({three[k][0] for k in (train[1], train[2], train[3], "big", "new1", "new2")}) == 1
+    assert {k: v[1] for k, v in state(2).items()} == got and len(three) == len(two)
+    linked_splits.advance(more.limit(0), none, path)
+    assert state() == three
 
 
 def test_in_several_partitions(spark):
