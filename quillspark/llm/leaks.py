@@ -86,7 +86,11 @@ class ItemIndex:
         k = at[where]
         times = self.count[k]
         src = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        dpos, item, ipos = np.repeat(where, times), self.item[src], self.pos[src]
+        item = self.item[src]
+        many = np.flatnonzero(np.bincount(item, minlength=len(self.bound))[item] >= self.bound[item])
+        if not len(many):  # no item has as many in the whole text
+            return []
+        dpos, item, ipos = np.repeat(where, times)[many], item[many], self.pos[src[many]]
         band = (dpos - ipos + (1 << 40)) // STEP
         item, band, dpos = np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(dpos, 2)
         order = np.lexsort((dpos, band, item))
@@ -97,13 +101,12 @@ class ItemIndex:
         last = np.minimum(last, len(item) - 1)
         ok &= (item[last] == item) & (band[last] == band) & (dpos[last] - dpos <= self.most[item] + self.edits)
         hits = np.flatnonzero(ok)
-        out: dict[tuple[int, int], list[int]] = {}
-        for i in hits:
-            key = (int(item[i]), int(band[i]))
-            lo, hi = int(dpos[i]), int(dpos[last[i]]) + self.q
-            span = out.setdefault(key, [lo, hi])
-            span[0], span[1] = min(span[0], lo), max(span[1], hi)
-        return [(a, b, lo, hi) for (a, b), (lo, hi) in sorted(out.items())]
+        if not len(hits):
+            return []
+        a, b, lo, hi = item[hits], band[hits], dpos[hits], dpos[last[hits]] + self.q
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+        end = np.append(first[1:], len(a)) - 1  # positions rise within an item's band
+        return list(zip(a[first].tolist(), b[first].tolist(), lo[first].tolist(), hi[end].tolist()))
 
     def align(self, jobs: list[tuple[str, int, int, int, int]]) -> np.ndarray:
         """Best local alignment score of each (text, item, band, lo, hi), in its band, all at once."""
@@ -151,8 +154,10 @@ def _scan(index: ItemIndex, ids, texts):
                 jobs.append((piece, item, band, lo, hi))
                 owner.append(doc)
     best: dict[tuple[int, int], list] = {}
-    for s in range(0, len(jobs), 256):
-        for (piece, item, band, lo, hi), doc, score in zip(jobs[s : s + 256], owner[s : s + 256], index.align(jobs[s : s + 256])):
+    by_length = sorted(range(len(jobs)), key=lambda k: jobs[k][4] - jobs[k][3])  # jobs aligned at once are alike
+    jobs, owner = [jobs[k] for k in by_length], [owner[k] for k in by_length]
+    for s in range(0, len(jobs), 1024):
+        for (piece, item, band, lo, hi), doc, score in zip(jobs[s : s + 1024], owner[s : s + 1024], index.align(jobs[s : s + 1024])):
             if score < index.least[item] - 2 * index.edits:
                 continue
             part = piece[max(0, lo - 2 * STEP) : hi + 2 * STEP]
@@ -176,8 +181,8 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, edits:
         def run(batches, bound=bound):
             index = ItemIndex(bound.value, q, edits, min_words)
             for b in batches:
-                for s in range(0, b.num_rows, 256):
-                    part = b.slice(s, 256)
+                for s in range(0, b.num_rows, 2048):
+                    part = b.slice(s, 2048)
                     rows = _scan(index, part.column(0).to_pylist(), part.column(1).to_pylist())
                     if rows:
                         d, i, c, e = zip(*rows)
