@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         if a.max_size < 50 or a.percent_train < 1:
             raise SystemExit("max_size must be at least 50, percent_train at least 1")
         if a.json:
-            files = rv.game_files(a.games, a.data)
+            files = rv.game_files(a.games, a.data, spark=spark)
             df = None
             for f in files:
                 one = rv.json_lines(spark, os.path.join(a.data, f)).withColumn("game", F.lit(f.removesuffix(".jsonlines")))

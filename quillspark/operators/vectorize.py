@@ -9,8 +9,10 @@ HASHED_DEFAULT = 1 << 18
 
 
 def hashed(long: DataFrame, n: int = HASHED_DEFAULT) -> DataFrame:
-    """V2: (id, slot, value): features hashed to ``n`` non-negative slots, values of a slot added."""
-    return long.groupBy("id", F.pmod(F.xxhash64("feature"), F.lit(n)).cast("int").alias("slot")).agg(F.sum("value").cast("double").alias("value"))
+    """V2: (id, slot, value): features hashed to ``n`` non-negative slots by the first 32 bits of their MD5,
+    which every engine has; values of a slot added."""
+    slot = F.conv(F.substring(F.md5("feature"), 1, 8), 16, 10).cast("bigint") % n
+    return long.groupBy("id", slot.cast("int").alias("slot")).agg(F.sum("value").cast("double").alias("value"))
 
 
 def hashed_vectors(long: DataFrame, n: int = HASHED_DEFAULT) -> DataFrame:

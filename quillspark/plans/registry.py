@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core_queries, stream_queries, text_queries
+from . import core_queries, io_queries, stream_queries, text_queries
 from .core_queries import Q, SQL
 
-__all__ = ["core_queries", "stream_queries", "text_queries", "queries", "oracle_sql"]
+__all__ = ["core_queries", "io_queries", "stream_queries", "text_queries", "queries", "oracle_sql"]
 
 
 def queries():

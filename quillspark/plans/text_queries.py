@@ -158,7 +158,7 @@ def vocabulary(spark, sf):
     return ft.ranked_vocabulary(stored_long(spark, sf))
 
 
-@query("hashed_features")
+@query("hashed_features", ", e as (select id_string as id, unnest(map_entries(nlp_features)) as e from r where nlp_features is not null) select id, (('0x' || substr(md5(e.key), 1, 8))::bigint % 100000)::int as slot, sum(coalesce(e.value, 0))::double as value from e group by 1, 2")
 def hashed_features(spark, sf):
     """V2 V3."""
     return vz.hashed(stored_long(spark, sf).na.fill(0, ["value"]), 100_000)
@@ -257,7 +257,7 @@ def comment_counts(spark, sf):
     return rv.stored(spark, sf, ["num_comments"]).select("id_string", sc.comment_count(html).alias("num_comments"))
 
 
-@query("html_elements")
+@query("html_elements", "select id_string, [trim(username)] as strings from r where username is not null")
 def html_elements(spark, sf):
     """Stripped strings of elements by tag and class."""
     html = F.concat(F.lit('<div class="a"><span class="title x">'), F.col("username"), F.lit("</span> <b>no</b></div><span>other</span>"))
@@ -375,14 +375,6 @@ def kendall(spark, sf):
     return r9(mt.kendall(mt.confusion(preds(spark, sf))))
 
 
-@query("evaluation_record")
-def evaluation_record(spark, sf):
-    """All metrics of a learning round beside its description."""
-    good = preds(spark, sf)
-    n = good.groupBy(*_BY).agg(F.count("*").alias("n_test_samples"))
-    return r9(mt.evaluation(good)).join(n, _BY).withColumn("prediction_label", F.lit("total_game_hours"))
-
-
 @query(
     "printable_confusion",
     f"""with {_P}, l as (select learner, fold, actual as v from cf union select learner, fold, predicted from cf),
@@ -478,7 +470,7 @@ def chi2_scores(spark, sf):
     return vz.chi2(x.join(train.select("id"), "id", "left_semi"), train).select("feature", F.round("chi2", 6).alias("chi2"))
 
 
-@query("selected_features")
+@query("selected_features", SQL["chi2_scores"].replace("select feature, round(sum((o - e) ^ 2 / e), 6) as chi2 from g group by 1", ", c2 as (select feature, round(sum((o - e) ^ 2 / e), 6) as chi2 from g group by 1) select feature from c2 where chi2 >= (select quantile_cont(chi2, 0.9) from c2)"))
 def selected_features(spark, sf):
     """V5: the upper tenth."""
     return vz.selected(chi2_scores(spark, sf), 0.1)

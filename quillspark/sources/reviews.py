@@ -28,13 +28,24 @@ def typed_hours(df: DataFrame) -> DataFrame:
     return df.where(F.col("total_game_hours").isNotNull())
 
 
-def game_files(games: str, data_dir: str, sample: str = "sample.jsonlines") -> list[str]:
+def _listed(folder: str, spark: SparkSession | None) -> list[str]:
+    """Names in a folder: of any store Spark can reach, or of the local disk without a session."""
+    if spark is None:
+        if not os.path.isdir(folder):
+            raise FileNotFoundError(folder)
+        return os.listdir(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(folder)
+    return [x.getPath().getName() for x in fs.listStatus(at)]
+
+
+def game_files(games: str, data_dir: str, sample: str = "sample.jsonlines", spark: SparkSession | None = None) -> list[str]:
     """S3: the files of a comma list of games, or of all; the sample is dropped; none left is an error."""
     if not games.strip():
         raise ValueError("no games given")
-    if not os.path.isdir(data_dir):
-        raise FileNotFoundError(data_dir)
-    there = sorted(f for f in os.listdir(data_dir) if f.endswith(".jsonlines"))
+    there = sorted(f for f in _listed(data_dir, spark) if f.endswith(".jsonlines"))
     if games.strip() == "all":
         names = there
     else:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import arff_text
@@ -36,11 +35,15 @@ def arff_header(relation: str, nominal: list[str] | None = None) -> str:
     return f"@relation {relation}\n@attribute text string\n@attribute value {kind}\n\n@data"
 
 
+def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A few lines as one text file, on whatever store the path is."""
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_arff(df: DataFrame, path: str, relation: str, text: str, value: str, nominal: list[str] | None = None) -> None:
-    """K4: the lines as text files of a folder, beside a file with the header."""
-    arff_lines(df, text, value).write.mode("overwrite").text(path)
-    with open(os.path.join(path, "_header.arff"), "w", encoding="utf-8") as f:
-        f.write(arff_header(relation, nominal) + "\n")
+    """K4: the header and the lines as text files in the folders ``header`` and ``data``."""
+    arff_lines(df, text, value).write.mode("overwrite").text(f"{path}/data")
+    _write_lines(df.sparkSession, [arff_header(relation, nominal)], f"{path}/header")
 
 
 def describe_report(row: dict) -> str:
@@ -52,15 +55,16 @@ def describe_report(row: dict) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """K6-K8: reports of a few rows, one file."""
+    """K6, K7: reports of a few rows, one file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_weights(weights: DataFrame, params: dict, path: str) -> None:
-    """K8: weights by falling size, with the parameters beside them."""
-    write_csv(weights.orderBy(F.desc(F.abs("weight")), "feature"), path)
-    with open(os.path.join(path, "_params.json"), "w", encoding="utf-8") as f:
-        json.dump(params, f, sort_keys=True)
+    """K8: weights by falling size, in files that follow each other in that order, and the parameters, in
+    the folders ``weights`` and ``params``."""
+    rows = weights.orderBy(F.desc(F.abs("weight")), "feature")
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/weights")
+    _write_lines(weights.sparkSession, [json.dumps(params, sort_keys=True)], f"{path}/params")
 
 
 def write_model(model: DataFrame, path: str) -> None:
