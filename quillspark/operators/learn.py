@@ -99,6 +99,33 @@ def mnb_predict(long: DataFrame, ids: DataFrame, weights: DataFrame, base: DataF
     return j.groupBy("id").agg(F.max_by("y", F.struct(score, -F.col("y"))).alias("p"))
 
 
+def mnb_grid(long: DataFrame, labels: DataFrame, params: list[dict]) -> DataFrame:
+    """V6, V7: (combination, fold, id, p): multinomial naive Bayes for every combination of ``params`` and every
+    fold of ``labels(fold, id, y)`` held out, in one plan: counts are kept per held-out fold, combinations
+    (a handful) are exploded beside the counts, and predictions are joins on fold and feature."""
+    k = labels.select(F.col("fold").alias("_f")).distinct()
+    train = labels.join(k, F.col("fold") != F.col("_f")).select(F.col("_f").alias("fold"), "id", "y")
+    feats, classes = nb_counts(long, train, ["fold"])
+    feats = cut(feats)
+    combos = F.array(*[F.struct(F.lit(i).alias("combination"), F.lit(float(p["alpha"])).alias("alpha"), F.lit(bool(p["fit_prior"])).alias("fit")) for i, p in enumerate(params)])
+    size = feats.groupBy("fold").agg(F.countDistinct("feature").alias("v"))
+    per = feats.groupBy("fold", "y").agg(F.sum("total").alias("nc"))
+    w = Window.partitionBy("fold")
+    base = classes.withColumn("fitted", F.ln(F.col("n") / F.sum("n").over(w))).withColumn("flat", -F.ln(F.count("*").over(w).cast("double")))
+    base = base.join(size, "fold").join(per, ["fold", "y"], "left").fillna(0.0, ["nc"]).select("*", F.inline(combos))
+    den = F.ln(F.col("nc") + F.col("alpha") * F.col("v"))
+    base = cut(base.select("combination", "fold", "y", "alpha", F.when(F.col("fit"), F.col("fitted")).otherwise(F.col("flat")).alias("prior"), den.alias("den"), (F.ln("alpha") - den).alias("unseen")))
+    test = labels.select("fold", "id")
+    known = long.join(test, "id").join(feats.select("fold", "feature").distinct(), ["fold", "feature"])
+    total = known.groupBy("fold", "id").agg(F.sum("value").alias("t"))
+    hit = known.join(feats, ["fold", "feature"]).join(F.broadcast(base), ["fold", "y"])
+    seen = hit.groupBy("combination", "fold", "id", "y").agg(F.sum(F.col("value") * (F.ln(F.col("total") + F.col("alpha")) - F.col("den"))).alias("s"), F.sum("value").alias("k"))
+    cells = test.join(F.broadcast(base.select("combination", "fold", "y", "prior", "unseen")), "fold")
+    j = cells.join(total, ["fold", "id"], "left").join(seen, ["combination", "fold", "id", "y"], "left").fillna(0, ["s", "k", "t"])
+    score = F.round(F.col("prior") + F.col("s") + (F.col("t") - F.col("k")) * F.col("unseen"), 9)
+    return j.groupBy("combination", "fold", "id").agg(F.max_by("y", F.struct(score, -F.col("y"))).alias("p"))
+
+
 def bnb_predict(long: DataFrame, ids: DataFrame, feats: DataFrame, classes: DataFrame, alpha: float = 0.1, fit_prior: bool = True) -> DataFrame:
     """Bernoulli: score = prior + sum over present f of ln p - ln(1 - p), plus the sum over the whole
     vocabulary of ln(1 - p), computed once a class. p = (n_cf + a) / (n_c + 2a)."""

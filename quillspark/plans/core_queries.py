@@ -85,24 +85,17 @@ def label_relative_freq(spark, sf):
 @query(
     "describe_corpus",
     """, t as (select length(review)::double as l, total_game_hours as v from r where review is not null and total_game_hours is not null
-  and not isnan(total_game_hours) and total_game_hours between 0 and 20000)
+  and not isnan(total_game_hours) and total_game_hours >= 0)
 select count(*) as n, round(avg(l), 6) as length_mean, min(l) as length_min, max(l) as length_max, round(stddev_pop(l), 6) as length_std,
   round(avg(v), 6) as hours_mean, min(v) as hours_min, max(v) as hours_max, round(stddev_pop(v), 6) as hours_std from t""",
 )
 def describe_corpus(spark, sf):
     """A3 K5."""
-    df = hours(spark, sf, "review").where("review is not null and v <= 20000")
+    df = hours(spark, sf, "review").where("review is not null")
     d = ds.described(df, "review", "v")
     return d.select(*[F.round(c, 6).alias(c) if c.endswith(("mean", "std")) else c for c in d.columns])
 
 
-@query("describe_corpus_all", SQL["describe_corpus"].replace(" between 0 and 20000)", " >= 0)"))
-def describe_corpus_all(spark, sf):
-    """A3 K5 over all usable hours."""
-    d = ds.described(hours(spark, sf, "review").where("review is not null"), "review", "v")
-    return d.select(*[F.round(c, 6).alias(c) if c.endswith(("mean", "std")) else c for c in d.columns])
-
-
 @query(
     "length_histogram",
     """with t as (select n_chars::double as v from documents where n_chars is not null), m as (select min(v) as lo, max(v) as hi from t)
@@ -218,18 +211,10 @@ def label_binned_value(spark, sf):
 @query(
     "label_transforms",
     """select id_string, round(v ^ 0.25, 6) as root4, round(sqrt(v), 6) as sqrt, round(ln(v + 1), 6) as log1p, round(log2(v + 1), 6) as log2p, round(log10(v + 1), 6) as log10p,
-  round(v ^ 2 / 1e6, 6) as pow2, round(v ^ 5 / 1e20, 6) as pow5 from h where v <= 20000""",
+  round(v ^ 2 / 1e6, 6) as pow2, round(v ^ 5 / 1e26, 6) as pow5 from h""",
 )
 def label_transforms(spark, sf):
-    """L7."""
-    scale = {"pow2": 1e6, "pow5": 1e20}
-    cols = [F.round(f(F.col("v")) / scale.get(k, 1.0), 6).alias(k) for k, f in lb.TRANSFORMS.items()]
-    return hours(spark, sf).where("v <= 20000").select("id_string", *cols)
-
-
-@query("label_transforms_all", SQL["label_transforms"].replace("1e20", "1e26").replace(" where v <= 20000", ""))
-def label_transforms_all(spark, sf):
-    """L7 over all usable hours; the fifth power is scaled down further, so that it can be compared."""
+    """The fifth power is scaled down, so that it can be compared."""
     scale = {"pow2": 1e6, "pow5": 1e26}
     cols = [F.round(f(F.col("v")) / scale.get(k, 1.0), 6).alias(k) for k, f in lb.TRANSFORMS.items()]
     return hours(spark, sf).select("id_string", *cols)
@@ -260,15 +245,9 @@ def half_even_rounding(spark, sf):
     return table(spark, sf, "events").select("event_id", lb.half_even(F.col("value")).alias("rounded"), lb.half_even(F.col("value") / 2).alias("half"))
 
 
-@query("zscore_label", ", m as (select avg(v) as m, stddev_pop(v) as s from h where v <= 20000) select id_string, round((v - m) / s, 6) as z from h, m where v <= 20000")
+@query("zscore_label", ", m as (select avg(v) as m, stddev_pop(v) as s from h) select id_string, round((v - m) / s, 6) as z from h, m")
 def zscore_label(spark, sf):
     """W16."""
-    return ds.zscores(hours(spark, sf).where("v <= 20000"), "v").select("id_string", F.round("z", 6).alias("z"))
-
-
-@query("zscore_label_all", SQL["zscore_label"].replace(" where v <= 20000", ""))
-def zscore_label_all(spark, sf):
-    """W16 over all usable hours."""
     return ds.zscores(hours(spark, sf), "v").select("id_string", F.round("z", 6).alias("z"))
 
 
@@ -433,19 +412,11 @@ def anti_join_used_ids(spark, sf):
 
 @query(
     "positional_join",
-    """with t as (select doc_id, string_split(text, ' ') as w from documents where text is not null and lang = 'de'),
-p as (select doc_id, w, unnest(range(1, least(len(w), 5) + 1)) as i from t) select doc_id, (i - 1)::int as pos, w[i] as word, length(w[i])::int as n from p""",
+    """with w as (select doc_id, string_split(text, ' ') as w from documents where text is not null)
+select *, length(word)::int as n from (select doc_id, (unnest(range(1, len(w) + 1)) - 1)::int as pos, unnest(w) as word from w)""",
 )
 def positional_join(spark, sf):
-    """Two arrays joined by position, in the row itself."""
-    df = table(spark, sf, "documents").where("text is not null and lang = 'de'").select("doc_id", F.slice(F.split("text", " "), 1, 5).alias("w"))
-    z = df.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("w"), F.transform("w", F.length).alias("n"))).alias("pos", "z"))
-    return z.select("doc_id", "pos", F.col("z.w").alias("word"), F.col("z.n").alias("n"))
-
-
-@query("positional_join_all")
-def positional_join_all(spark, sf):
-    """All positions of all texts."""
+    """Two arrays joined by position, in the row itself; all positions of all texts."""
     df = table(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
     z = df.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("w"), F.transform("w", F.length).alias("n"))).alias("pos", "z"))
     return z.select("doc_id", "pos", F.col("z.w").alias("word"), F.col("z.n").alias("n"))

@@ -18,16 +18,17 @@ def _folder(spark) -> str:
 @query(
     "stream_windowed_hours",
     """with w as (select user_id, value, unnest(range(0, 14)) as k, ts::date as d from events)
-select user_id, (d - k::int)::timestamp as start, round(sum(value), 6) as hours from w group by 1, 2""",
+select user_id, (d - k::int)::timestamp as start, round(sum(value), 6) as hours from w
+where (d - k::int)::timestamp + interval 14 day <= (select max(ts) - interval 1 day from events) group by 1, 2""",
 )
 def stream_windowed_hours(spark, sf):
-    """14-day windows sliding by a day, as a stream over the events run to its end."""
+    """14-day windows sliding by a day, as a stream over the events run to its end: a window is put out,
+    and its state dropped, once the watermark (the last event less a day) has passed its end."""
     at = _folder(spark)
     out = windowed_hours(spark.readStream.schema(table(spark, sf, "events").schema).parquet(_single(spark, sf, "events")))
-    q = out.select("user_id", F.col("window.start").alias("start"), "hours").writeStream.outputMode("complete")
-    name = "w" + uuid.uuid4().hex
-    q.format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("hours", 6).alias("hours"))
+    q = out.select("user_id", F.col("window.start").alias("start"), "hours").writeStream.outputMode("append").format("parquet")
+    q.option("checkpointLocation", f"{at}/at").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("hours", 6).alias("hours"))
 
 
 def _single(spark, sf, name: str) -> str:

@@ -224,25 +224,16 @@ def posted_dates(spark, sf):
     return df.select("id_string", p["date_posted"].alias("date_posted"), p["date_updated"].alias("date_updated"), sc.timestamp_of(p["date_posted"]).cast("timestamp_ntz").alias("posted_at"))
 
 
-@query("hours_strings", "select id_string, round(v, 1) as total, 1.5::double as last_two_weeks from h where v < 100000")
+@query("hours_strings", "select id_string, round(v, 1) as total, 1.5::double as last_two_weeks from h")
 def hours_strings(spark, sf):
     """T7."""
     from .core_queries import hours
 
-    df = hours(spark, sf).where("v < 100000")
+    df = hours(spark, sf)
     h = sc.hours(F.concat(F.lit("1.5 hrs last two weeks / "), F.format_number("v", 1), F.lit(" hrs on record")))
     return df.select("id_string", h["total"].alias("total"), h["last_two_weeks"].alias("last_two_weeks"))
 
 
-@query("hours_strings_all", SQL["hours_strings"].replace(" where v < 100000", ""))
-def hours_strings_all(spark, sf):
-    """T7 over all usable hours."""
-    from .core_queries import hours
-
-    h = sc.hours(F.concat(F.lit("1.5 hrs last two weeks / "), F.format_number("v", 1), F.lit(" hrs on record")))
-    return hours(spark, sf).select("id_string", h["total"].alias("total"), h["last_two_weeks"].alias("last_two_weeks"))
-
-
 @query("url_parts", "select id_string, array_to_string(string_split(review_url, '/')[1:5], '/') as profile, string_split(review_url, '/')[5] as user from r")
 def url_parts(spark, sf):
     """T8."""
@@ -447,30 +438,42 @@ def class_sets(spark, sf):
 
 # ---- learning ------------------------------------------------------------------------------------
 
-_TRAIN = f"""with {R}, y as (select id_string as id, total_game_hours_bin::double as y, f.fold from r join fold_set f on f.id = r.id_string and f.set_name = 'training_set' where total_game_hours_bin is not null),
+_HELD = f"""with {R}, y as (select id_string as id, total_game_hours_bin::double as y, f.fold from r join fold_set f on f.id = r.id_string and f.set_name = 'training_set' where total_game_hours_bin is not null),
 x as (select id, e.key as feature, e.value::double as value from (select id_string as id, unnest(map_entries(nlp_features)) as e from r where nlp_features is not null) where e.value > 0),
-tr as (select id, y from y where fold <> 1), te as (select id, y from y where fold = 1),
+tr as (select id, y from y where fold <> {{held}}), te as (select id, y from y where fold = {{held}}),
 fc as (select feature, y, sum(value) as total, count(*) as records from x join tr using (id) group by 1, 2), cl as (select y, count(*) as n from tr group by 1)"""
+_TRAIN = _HELD.format(held=1)
+#: The training folds of the tables.
+FOLDS = range(1, 11)
+
+
+def _every_fold(rest: str) -> str:
+    """The statement for one held-out fold, for each of ``FOLDS`` that is there."""
+    return " union all ".join(f"select *, {k} as fold from ({_HELD.format(held=k)}{rest}) where exists (select 1 from fold_set where set_name = 'training_set' and fold = {k})" for k in FOLDS)
 
 
-def train_test(spark, sf):
-    """(features, training labels, test ids): fold 1 held out of the training folds."""
-    folds = table(spark, sf, "fold_set").where("set_name = 'training_set'").select("id", "fold")
+def train_test(spark, sf, set_name: str = "training_set"):
+    """(features, training labels, test labels, all labels with their fold): fold 1 held out of the folds."""
+    folds = table(spark, sf, "fold_set").where(F.col("set_name") == set_name).select("id", "fold")
     df = rv.stored(spark, sf, ["total_game_hours_bin", "nlp_features"]).withColumnRenamed("id_string", "id")
     y = df.where("total_game_hours_bin is not null").select("id", F.col("total_game_hours_bin").cast("double").alias("y")).join(folds, "id")
     x = df.where("nlp_features is not null").select("id", F.explode("nlp_features").alias("feature", "value")).where("value > 0")
     return x, y.where("fold <> 1").select("id", "y"), y.where("fold = 1").select("id", "y"), y
 
 
-@query("chi2_scores", _TRAIN + """, pr as (select y, n / sum(n) over () as s from cl), t as (select feature, sum(total) as t from fc group by 1),
-g as (select feature, y, t * s as e, coalesce(total, 0) as o from t join pr on true left join fc using (feature, y)) select feature, round(sum((o - e) ^ 2 / e), 6) as chi2 from g group by 1""")
+_CHI2 = """, pr as (select y, n / sum(n) over () as s from cl), t as (select feature, sum(total) as t from fc group by 1),
+g as (select feature, y, t * s as e, coalesce(total, 0) as o from t join pr on true left join fc using (feature, y)) select feature, round(sum((o - e) ^ 2 / e) + 1e-9, 6) as chi2 from g group by 1"""
+_UPPER = _CHI2.replace("select feature, round(", ", c2 as (select feature, round(") + ") select feature from c2 where chi2 >= (select quantile_cont(chi2, 0.9) from c2)"
+
+
+@query("chi2_scores", _TRAIN + _CHI2)
 def chi2_scores(spark, sf):
     """V5."""
     x, train, _, _ = train_test(spark, sf)
-    return vz.chi2(x.join(train.select("id"), "id", "left_semi"), train).select("feature", F.round("chi2", 6).alias("chi2"))
+    return vz.chi2(x.join(train.select("id"), "id", "left_semi"), train).select("feature", F.round(F.col("chi2") + 1e-9, 6).alias("chi2"))
 
 
-@query("selected_features", SQL["chi2_scores"].replace("select feature, round(sum((o - e) ^ 2 / e), 6) as chi2 from g group by 1", ", c2 as (select feature, round(sum((o - e) ^ 2 / e), 6) as chi2 from g group by 1) select feature from c2 where chi2 >= (select quantile_cont(chi2, 0.9) from c2)"))
+@query("selected_features", _TRAIN + _UPPER)
 def selected_features(spark, sf):
     """V5: the upper tenth."""
     return vz.selected(chi2_scores(spark, sf), 0.1)
@@ -529,32 +532,50 @@ def _held_out(spark, sf, f) -> DataFrame:
 
 
 def _chi2(x, train, _=None) -> DataFrame:
-    return vz.chi2(x.join(train.select("id"), "id", "left_semi"), train).select("feature", F.round("chi2", 6).alias("chi2"))
+    return vz.chi2(x.join(train.select("id"), "id", "left_semi"), train).select("feature", F.round(F.col("chi2") + 1e-9, 6).alias("chi2"))
 
 
-@query("chi2_scores_cv")
+@query("chi2_scores_cv", _every_fold(_CHI2))
 def chi2_scores_cv(spark, sf):
     """V5 on the training side of every held-out fold."""
     return _held_out(spark, sf, _chi2)
 
 
-@query("selected_features_cv")
+@query("selected_features_cv", _every_fold(_UPPER))
 def selected_features_cv(spark, sf):
     """V5: the upper tenth on the training side of every held-out fold."""
     return _held_out(spark, sf, lambda x, train, _: vz.selected(_chi2(x, train), 0.1))
 
 
-@query("mnb_cv")
+@query("mnb_cv", _every_fold(_MNB))
 def mnb_cv(spark, sf):
-    """V7 V9: multinomial naive Bayes with every fold held out."""
+    """V7 V9: multinomial naive Bayes with every fold held out, in one plan."""
+    x, _, _, y = train_test(spark, sf)
+    return ln.mnb_grid(x, y, [{"alpha": 0.1, "fit_prior": True}]).select("fold", "id", "p")
 
-    def run(x, train, test):
-        return ln.mnb_predict(x.join(test.select("id"), "id", "left_semi"), test, *ln.mnb_weights(*ln.nb_counts(x, train)))
 
-    return _held_out(spark, sf, run)
+def _grid_sql(params: list[dict]) -> str:
+    out = []
+    for i, g in enumerate(params):
+        rest = _MNB.replace("0.1", repr(g["alpha"]))
+        if not g["fit_prior"]:
+            rest = rest.replace("ln(n / sum(n) over ())", "-ln(count(*) over ())")
+        for k in range(1, 6):
+            one = (_HELD.format(held=k) + rest).replace("'training_set'", "'grid_search_set'").replace("select id, y as p from r2", "select r2.id, r2.y as p, te.y as y from r2 join te on te.id = r2.id")
+            out.append(f"select {i} as combination, {k} as fold, avg((p = y)::int) as a from ({one}) having count(*) > 0")
+    return "select combination, count(*) as folds, round(avg(a), 9) as accuracy from (" + " union all ".join(out) + ") group by 1"
+
+
+@query("grid_search_nb", _grid_sql(ln.grid_rows("mnb")))
+def grid_search_nb(spark, sf):
+    """Every combination of a learner's grid on every fold of the grid-search set, by mean accuracy."""
+    x, _, _, y = train_test(spark, sf, "grid_search_set")
+    got = ln.mnb_grid(x, y, ln.grid_rows("mnb")).join(y, ["fold", "id"])
+    per = got.groupBy("combination", "fold").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("a"))
+    return per.groupBy("combination").agg(F.count("*").alias("folds"), F.round(F.avg("a"), 9).alias("accuracy"))
 
 
-@query("bnb_cv")
+@query("bnb_cv", _every_fold(_BNB))
 def bnb_cv(spark, sf):
     """V7 V9: Bernoulli naive Bayes with every fold held out."""
     return _held_out(spark, sf, lambda x, train, test: ln.bnb_predict(x.join(test.select("id"), "id", "left_semi"), test, *ln.nb_counts(x, train)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -29,10 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_roots: set[str] = set()
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables this application has cut; tables that are still to be read are gone with them."""
+    root = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        clean(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here, and
-    losing an executor later costs a re-read of files, not a recomputation."""
+    losing an executor later costs a re-read of files, not a recomputation. The tables of an application are
+    deleted by ``clean``, which also runs when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_clean_at_exit, spark)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -81,10 +81,10 @@ def test_report_sinks(spark, tmp_path):
     df = spark.createDataFrame([("Some \"text\"", 2.0), ("b", 3.0)], "t string, v double")
     sinks.write_arff(df, str(tmp_path / "arff"), "r", "t", "v", ["2.0", "3.0"])
     assert next((tmp_path / "arff" / "header").glob("part-*")).read_text().startswith("@relation r\n@attribute text string\n@attribute value {2.0,3.0}")
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "arff" / "part-*")).collect()) == ['"b",3.0', '"some text",2.0']
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "arff" / "data")).collect()) == ['"b",3.0', '"some text",2.0']
     w = spark.createDataFrame([("a", 0.5), ("b", -2.0)], "feature string, weight double")
     sinks.write_weights(w, {"alpha": 0.1}, str(tmp_path / "w"))
-    assert [r["feature"] for r in spark.read.option("header", True).csv(str(tmp_path / "w")).collect()] == ["b", "a"]
+    assert [r["feature"] for r in spark.read.option("header", True).csv(str(tmp_path / "w" / "weights")).collect()] == ["b", "a"]
     sinks.write_model(w, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
     sinks.write_json_lines(w, str(tmp_path / "j"))

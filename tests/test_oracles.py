@@ -53,7 +53,7 @@ def test_entry(spark):
 
 
 def test_whole_input(spark, tmp_path):
-    """The queries named _all leave no usable row and no position out."""
+    """No usable row and no position is left out."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
@@ -66,11 +66,11 @@ def test_whole_input(spark, tmp_path):
     r = pq.read_table(f"{tmp_path}/review.parquet", columns=["id_string", "total_game_hours"]).to_pylist()
     high = {x["id_string"] for x in r[:3]}
     q = registry.queries()
-    for name in ("zscore_label_all", "label_transforms_all", "hours_strings_all"):
+    for name in ("zscore_label", "label_transforms", "hours_strings"):
         assert high <= {x["id_string"] for x in q[name](spark, str(tmp_path)).collect()}
-    assert q["describe_corpus_all"](spark, str(tmp_path)).first()["hours_max"] == 2_026_300.0
+    assert q["describe_corpus"](spark, str(tmp_path)).first()["hours_max"] == 2_026_300.0
     want = sorted((d["doc_id"], i, w) for d in pq.read_table(f"{DIR}/documents.parquet").to_pylist() if d["text"] is not None for i, w in enumerate(d["text"].split(" ")))
-    assert sorted((x["doc_id"], x["pos"], x["word"]) for x in q["positional_join_all"](spark, DIR).collect()) == want
+    assert sorted((x["doc_id"], x["pos"], x["word"]) for x in q["positional_join"](spark, DIR).collect()) == want
 
 
 def test_every_fold_is_held_out(spark):
