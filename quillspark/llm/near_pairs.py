@@ -15,8 +15,10 @@ All pairs are found; nothing is sampled and no bucket is capped:
    words whose pairs all exceed their radius are abandoned.
 4. What is left is verified on the whole sets.
 
-A frequent shingle's bucket is cut into blocks of ``BLOCK`` records and each pair of blocks goes to a
-task of its own, so no bucket is gathered whole. Sets hold 32-bit hashes: a wrong count takes a collision
+The bucket of a shingle in at least ``FREQUENT_SHARE`` of all sets is cut into blocks of ``BLOCK`` records and
+each pair of blocks goes to a task of its own. A rarer shingle's bucket stays in one task, whose work is
+quadratic in it; above ``BLOCK`` / ``FREQUENT_SHARE`` (8 million) sets it can be larger than a block. Sets hold
+32-bit hashes: a wrong count takes a collision
 between the two sets (chance about |a||b| / 2^32 for a pair).
 """
 
@@ -65,8 +67,9 @@ def shingle_set(text: Column, k: int, min_words: int) -> Column:
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``docs(id, grp, side, s)``: classes (rid, grp, side, n, s) of equal sets within a group, and
-    members (id, grp, side, h1, h2); both written to the shared folder."""
-    keyed = docs.select("id", "grp", "side", F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), "s")
+    members (id, grp, side, h1, h2). The sets are computed and written once; the members' columns are read
+    from there without them."""
+    keyed = cut(docs.select("id", "grp", "side", F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), "s"))
     reps = (
         keyed.groupBy("grp", "h1", "h2")
         .agg(F.bit_or("side").alias("side"), F.count("*").alias("m"), F.first("s").alias("s"))
