@@ -1,8 +1,9 @@
 """Problem 1: evaluation records that stand, the same or almost the same, in the training split.
 
 Word n-gram hashes of the evaluation records are partitioned by hash (rarest first, see near_pairs), the
-training records are scanned for hits, and for every pair that may reach the threshold the containment of
-the evaluation record in the training record and the Jaccard similarity are computed on the whole sets.
+training records' own rarest are scanned for hits, and for every pair that may reach the Jaccard threshold
+the containment of the evaluation record in the training record is computed on the whole sets. An
+evaluation record inside a far longer training record does not reach it.
 
 Defined cases: null, empty and short texts and records of no known partition do not count; repeated rows
 of one id count once; records of one side only give no rows; an empty table gives no rows.

@@ -1,6 +1,6 @@
 """Problem 8: token ids of every text by a public byte-level BPE.
 
-Overlapping chunk encoding, for every text of more than ``CHUNK`` characters:
+Overlapping chunk encoding, for every text of more than ``CHUNK`` + ``OVERLAP`` characters (a shorter one is one chunk):
 
 1. Texts are cut into chunks that overlap by ``OVERLAP`` characters. All chunks of a batch are
    pre-tokenised at once, each from its own first character and without knowing what stands before it.
