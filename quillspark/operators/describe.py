@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,30 @@ def coverage(df: DataFrame, value: str, cap: float, least: float = 0.9) -> DataF
     return share.withColumn("covered", F.col("share") >= least)
 
 
+def exact_percentile(df: DataFrame, value: str, p: float, slack: float = 0.001) -> float | None:
+    """The exact percentile (between two values, in proportion) of all rows, without gathering them: a sketch
+    of fixed size gives limits around it, the rows below are counted, and only the distinct values between the
+    limits, about 2 ``slack`` of the rows, are ordered. Null without rows."""
+    v = F.col(value)
+    rows = df.where(v.isNotNull()).select(v.cast("double").alias("v"))
+    around = [max(0.0, p - slack), min(1.0, p + slack)]
+    n, limits = rows.agg(F.count("*"), F.percentile_approx("v", around, 10 * int(1 / slack))).first()
+    if not n:
+        return None
+    at = (n - 1) * p
+    first = math.floor(at)
+    lo, hi = limits
+    for _ in range(2):
+        below = rows.where(F.col("v") < lo).count()
+        counts = rows.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("c"))
+        up = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")) + below)
+        a, b = up.agg(F.min(F.when(F.col("upto") > first, F.col("v"))), F.min(F.when(F.col("upto") > min(first + 1, n - 1), F.col("v")))).first()
+        if below <= first and a is not None and b is not None:
+            return a + (b - a) * (at - first)
+        lo, hi = float("-inf"), float("inf")  # the sketch missed: order all distinct values
+    raise AssertionError("no value at the rank")
+
+
 def moments(df: DataFrame, value: str) -> DataFrame:
     """N, extremes, population deviation, mean, median, mode (ties: the smallest), skewness,
     kurtosis and the K2-style Jarque-Bera statistic, from explicit moments (two passes, both of sums)."""
@@ -60,7 +86,7 @@ def moments(df: DataFrame, value: str) -> DataFrame:
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         F.first("m").alias("mean"),
-        F.percentile("v", F.lit(0.5)).alias("median"),
+        F.lit(exact_percentile(base, "v", 0.5)).cast("double").alias("median"),
         F.avg(d * d).alias("m2"),
         F.avg(d * d * d).alias("m3"),
         F.avg(d * d * d * d).alias("m4"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+from .describe import exact_percentile
+
 HASHED_DEFAULT = 1 << 18
 
 
@@ -46,5 +49,6 @@ def selected(scores: DataFrame, percentile: float) -> DataFrame:
         raise ValueError("percentile must be in (0, 1]")
     if percentile == 1:
         return scores.select("feature")
-    cut = scores.agg(F.percentile("chi2", F.lit(1 - percentile))).scalar()
-    return scores.where(F.col("chi2") >= cut).select("feature")
+    scores = cut(scores)
+    least = exact_percentile(scores, "chi2", 1 - percentile)
+    return scores.where(F.col("chi2") >= F.lit(least)).select("feature")

@@ -108,3 +108,16 @@ def test_grid_search_needs_two_folds(spark):
     one = spark.createDataFrame([(1, "a", 1.0, [0], [1.0])], "fold int, id string, y double, slots array<int>, vals array<double>")
     with pytest.raises(ValueError):
         ln.grid_search(one, "perc", [{}], 4, F.lit)
+
+
+def test_exact_percentile(spark):
+    import numpy as np
+
+    from quillspark.operators.describe import exact_percentile
+
+    rng = np.random.default_rng(1)
+    for v in (rng.lognormal(3, 2, 5000), rng.integers(0, 4, 3000).astype(float), np.array([7.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        for p in (0.0, 0.5, 0.9, 1.0):
+            assert abs(exact_percentile(df, "v", p) - np.percentile(v, 100 * p)) < 1e-9
+    assert exact_percentile(df.limit(0), "v", 0.5) is None
