@@ -56,7 +56,7 @@ SAMPLES = {
 
 
 def test_languages():
-    model = languages.fit(languages.with_lost([(s, k) for k, v in SAMPLES.items() for s in v] * 3))
+    model = languages.fit(languages.with_lost([(s, k) for k, v in SAMPLES.items() for s in v for _ in range(8)]))
     mixed = "The second act is far better than the first one. Der letzte Abschnitt ist leider nicht so gut für mich."
     got = languages.texts_languages([mixed, "", "Too short.", "Я не думал что уровень такой трудный в игре."], model)
     assert {x[0] for x in got[0]} == {"en", "de"} and got[1] == [] and got[2] == [] and [x[0] for x in got[3]] == ["ru"]
