@@ -1,6 +1,7 @@
 """Learners (V6-V10, E12). Naive Bayes is additive counts, so that training over folds is one aggregation
-and prediction a join; the order-dependent learners run per (learner, parameters, held-out fold) in
-grouped Python, folds in order and rows by id, over samples whose size is a parameter of the experiment.
+and prediction a join; the order-dependent learners run per (learner, held-out fold) in Arrow Python, folds
+in order and rows by id, over samples whose size is a parameter of the experiment. A task holds one fold at
+a time, sparse.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ import itertools
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 
 SEED = 123456789
+#: Parts that a held-out fold's combinations are trained in, at most.
+BLOCKS = 4
 
 # Learners and their default parameter grids.
 LEARNERS = {
@@ -244,38 +248,215 @@ class Online:
         return s[:, 0] if self.kind == "pagr" else self.classes[s.argmax(axis=1)]
 
 
+class Perceptrons:
+    """``Online``'s perceptron for several combinations of one ``n_iter`` over the same rows. A column is a
+    combination and a class. Weights are ``w`` times their column's ``scale``, so that shrinking all of them
+    is one product; what was cut from all of them adds up in ``owed``, and a feature's weights are cut by
+    what has come since they were last seen (``paid``) when they are seen again. Equal to ``Online`` but for rounding."""
+
+    CHECK = 256
+
+    def __init__(self, combinations: list[dict], dim: int, classes: np.ndarray):
+        order = {None: 0, "l2": 1, "elasticnet": 2, "l1": 3}
+        self.order = sorted(range(len(combinations)), key=lambda i: order[combinations[i].get("penalty")])
+        p, k = [combinations[i] for i in self.order], len(classes)
+        kinds = np.repeat([order[x.get("penalty")] for x in p], k)
+        each = lambda f: np.repeat([float(f(x)) for x in p], k)
+        self.n_iter, self.classes, self.eta = int(p[0].get("n_iter", 5)), classes, each(lambda x: x.get("eta0", 1))
+        rate = self.eta * each(lambda x: x.get("alpha", 1e-4))
+        self.shrink, self.scale = 1 - rate * np.array([0.0, 1.0, 0.85, 0.0])[kinds], np.ones(len(kinds))
+        self.first = int(np.searchsorted(kinds, 2))  # columns from here on are cut
+        self.cut = (rate * np.where(kinds == 3, 1.0, 0.15))[self.first :]
+        self.owed, self.b, self.t = np.zeros(len(self.cut)), np.zeros(len(kinds)), 0
+        self.plain, self.sparse, self.paid = np.zeros((dim, self.first)), np.zeros((dim, len(self.cut))), np.zeros((dim, len(self.cut)))
+        self.sign = np.where(classes[:, None] == np.tile(classes, len(p)), 1.0, -1.0)
+
+    @staticmethod
+    def fits(combinations: list[dict]) -> bool:
+        """Whether no step shrinks the weights to almost nothing."""
+        return all(float(p.get("eta0", 1)) * float(p.get("alpha", 1e-4)) < 0.95 for p in combinations)
+
+    def partial_fit(self, rows, y) -> None:
+        n = self.first
+        for _ in range(self.n_iter):
+            for (ix, v), target in zip(rows, np.searchsorted(self.classes, y)):
+                x, owes = self.sparse.take(ix, axis=0), self.paid.take(ix, axis=0)
+                owes -= self.owed
+                within = np.maximum(x, owes)
+                np.negative(owes, out=owes)
+                x -= np.minimum(within, owes, out=within)
+                score = np.concatenate([v @ self.plain.take(ix, axis=0), v @ x]) * self.scale + self.b
+                sign = self.sign[target]
+                wrong = sign * score <= 0
+                self.scale *= self.shrink
+                now = self.cut / self.scale[n:]
+                self.owed += now
+                np.maximum(x, -now, out=within)
+                x -= np.minimum(within, now, out=within)
+                if wrong.any():
+                    step = sign * self.eta * wrong
+                    self.b += step
+                    step /= self.scale
+                    if wrong[:n].any():
+                        self.plain[ix] += np.dot(v[:, None], step[None, :n])
+                    x += np.dot(v[:, None], step[None, n:], out=within)
+                self.sparse[ix], self.paid[ix] = x, self.owed
+                self.t += 1
+                if self.t % self.CHECK == 0 and self.scale.min() < 1e-40:
+                    self._rescaled()
+
+    def _rescaled(self) -> None:
+        """All weights cut by what they owe, and a scale of one."""
+        owes = self.owed - self.paid
+        self.sparse -= np.clip(self.sparse, -owes, owes)
+        self.sparse *= self.scale[self.first :]
+        self.plain *= self.scale[: self.first]
+        self.paid[:], self.owed[:], self.scale[:] = 0, 0, 1
+
+    def predict(self, rows) -> list[np.ndarray]:
+        """One array for each combination, in their order."""
+        self._rescaled()
+        w = np.concatenate([self.plain, self.sparse], axis=1)
+        s = np.array([v @ w[ix] + self.b for ix, v in rows]).reshape(len(rows), len(self.order), len(self.classes))
+        best = self.classes[s.argmax(axis=2)]
+        out: list = [None] * len(self.order)
+        for j, i in enumerate(self.order):
+            out[i] = best[:, j]
+        return out
+
+
+class Each:
+    """Learners of any combinations over the same rows, with the methods of ``Perceptrons``."""
+
+    def __init__(self, learner: str, combinations: list[dict], dim: int, classes: np.ndarray):
+        self.models = [Online(learner, p, dim, classes) for p in combinations]
+
+    def partial_fit(self, rows, y) -> None:
+        for m in self.models:
+            m.partial_fit(rows, y)
+
+    def predict(self, rows) -> list[np.ndarray]:
+        return [m.predict(rows) for m in self.models]
+
+
+def same_model(learner: str, params: dict) -> tuple:
+    """Combinations of equal key make the same predictions: without penalty a perceptron's alpha says nothing,
+    and where ``eta0`` (a power of two, so that nothing is rounded) multiplies all that changes the weights it
+    does not either."""
+    p = dict(params)
+    if learner == "perc":
+        if p.get("penalty") is None:
+            p.pop("alpha", None)
+        if p.get("penalty") in (None, "l1") and np.frexp(p.get("eta0", 1))[0] == 0.5:
+            p["eta0"] = 1
+    return tuple(sorted((k, str(float(v) if isinstance(v, (int, float)) else v)) for k, v in p.items()))
+
+
+def _blocks(learner: str, combinations: list[dict]) -> list[list[list[int]]]:
+    """Blocks of models, a model being the numbers of the combinations that it stands for. The models of a
+    block are trained in one task a held-out fold; perceptrons of a block have one ``n_iter``."""
+    models: dict[tuple, list[int]] = {}
+    for i, p in enumerate(combinations):
+        models.setdefault(same_model(learner, p), []).append(i)
+    of = list(models.values())
+    if learner == "perc" and len(of) > 1:
+        by: dict[int, list] = {}
+        for m in of:
+            by.setdefault(int(combinations[m[0]].get("n_iter", 5)), []).append(m)
+        return list(by.values())
+    return [of[k::BLOCKS] for k in range(min(BLOCKS, len(of)))]
+
+
+class Rows:
+    """Sparse rows of Arrow batches, as a sequence of (indices, values)."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        col = lambda name: pa.chunked_array([b.column(b.schema.get_field_index(name)) for b in batches]).combine_chunks()
+        slots, vals = col("slots"), col("vals")
+        self.start = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(slots), 0).to_numpy(zero_copy_only=False)))
+        self.ix, self.v = slots.flatten().to_numpy(zero_copy_only=False), vals.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+        self.y, self.ids = col("y").to_numpy(zero_copy_only=False).astype(float, copy=False), col("id")
+
+    def __len__(self):
+        return len(self.y)
+
+    def __getitem__(self, i):
+        if i >= len(self):
+            raise IndexError(i)
+        a, b = self.start[i], self.start[i + 1]
+        return self.ix[a:b], self.v[a:b]
+
+
 def cross_validated(points: DataFrame, learner: str, params: dict, dim: int) -> DataFrame:
     """V7: (learner, fold, id, y, p). ``points(fold, id, y, slots array<int>, vals array<double>)``, hashed to
     ``dim``. For every held-out fold one task trains on the others, fold by fold, rows by id. The sample
     an experiment trains on is bounded by folds x size, parameters of the plan."""
-    return _each_combination(points, learner, [params], dim).drop("combination")
+    return _each_combination(_written(points), learner, [params], dim).drop("combination")
+
+
+def _written(points: DataFrame) -> DataFrame:
+    columns = [F.col("fold"), F.col("id").cast("string").alias("id"), F.col("y").cast("double").alias("y"), F.col("slots"), F.col("vals")]
+    return cut(points.where("fold is not null").select(*columns))
 
 
 def _each_combination(points: DataFrame, learner: str, combinations: list[dict], dim: int) -> DataFrame:
-    """``cross_validated`` with a column combination: every held-out fold and combination in a group of its own."""
-    folds = points.agg(F.array_sort(F.collect_set("fold"))).scalar()
-    classes = points.agg(F.array_sort(F.collect_set("y"))).scalar()
-    numbers = F.sequence(F.lit(0), F.lit(len(combinations) - 1))
-    jobs = points.withColumn("held_out", F.explode(folds)).withColumn("combination", F.explode(numbers)).withColumn("classes", classes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, number = int(pdf["held_out"].iloc[0]), int(pdf["combination"].iloc[0])
-        model = Online(learner, combinations[number], dim, np.array(pdf["classes"].iloc[0], float))
-        pdf = pdf.sort_values(["fold", "id"])
-        row = lambda d: [(np.asarray(a, np.int64), np.asarray(b, float)) for a, b in zip(d["slots"], d["vals"])]
-        for _, d in pdf[pdf["fold"] != out].groupby("fold", sort=True):
-            model.partial_fit(row(d), d["y"].to_numpy(float))
-        test = pdf[pdf["fold"] == out]
-        p = model.predict(row(test)) if len(test) else np.zeros(0)
-        return pd.DataFrame({"combination": number, "learner": learner, "fold": out, "id": test["id"].astype(str), "y": test["y"].astype(float), "p": p})
-
-    return jobs.groupBy("held_out", "combination").applyInPandas(run, "combination int, learner string, fold int, id string, y double, p double")
+    """``cross_validated`` of ``_written`` points with a column combination. Every held-out fold and block of combinations has a
+    partition of its own, which the other folds, in order, and then the held-out one are streamed through:
+    rows are copied once a block, not once a combination."""
+    has = points.agg(F.array_sort(F.collect_set("fold")).alias("fold"), F.array_sort(F.collect_set("y")).alias("y")).first()
+    folds, classes, blocks = has["fold"], np.array(has["y"], float), _blocks(learner, combinations)
+
+    def run(batches):
+        job, model, fold, held = -1, None, None, []
+
+        def learned():
+            if held:
+                rows = Rows(held)
+                model.partial_fit(rows, rows.y)
+                held.clear()
+
+        for b in batches:
+            jobs, of = (b.column(k).to_numpy() for k in range(2))
+            cuts = np.flatnonzero((np.diff(jobs) != 0) | (np.diff(of) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if jobs[lo] != job:
+                    job, fold = int(jobs[lo]), None
+                    out, block = folds[job // len(blocks)], blocks[job % len(blocks)]
+                    chosen = [combinations[m[0]] for m in block]
+                    together = learner == "perc" and len(combinations) > 1 and Perceptrons.fits(chosen)
+                    model = Perceptrons(chosen, dim, classes) if together else Each(learner, chosen, dim, classes)
+                    held.clear()
+                if of[lo] != fold:
+                    learned()
+                    fold = of[lo]
+                if fold != out:
+                    held.append(part)
+                    continue
+                rows = Rows([part])
+                for numbers, p in zip(block, model.predict(rows)):
+                    for number in numbers:
+                        n = len(rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, number, np.int32)), pa.array([learner] * n), pa.array(np.full(n, out, np.int32)), rows.ids, pa.array(rows.y), pa.array(p)],
+                            ["combination", "learner", "fold", "id", "y", "p"],
+                        )
+
+    if not folds:
+        return points.select(F.lit(0).alias("combination"), F.lit(learner).alias("learner"), "fold", "id", "y", F.col("y").alias("p"))
+    numbers = F.sequence(F.lit(0), F.lit(len(folds) * len(blocks) - 1))
+    last = F.col("fold") == F.get(F.lit(folds), F.floor(F.col("job") / len(blocks)).cast("int"))
+    jobs = points.select(F.explode(numbers).alias("job"), "fold", "id", "y", "slots", "vals").repartitionById(len(folds) * len(blocks), "job")
+    return jobs.sortWithinPartitions("job", last, "fold", "id").mapInArrow(run, "combination int, learner string, fold int, id string, y double, p double")
 
 
 def grid_search(points: DataFrame, learner: str, combinations: list[dict], dim: int, objective) -> tuple[dict, DataFrame]:
     """V6: every combination over the grid folds; best by the mean objective over folds (ties: the first).
     ``objective(predictions) -> (fold, score)``; it sees each combination's folds as folds of their own. At
     least two folds are needed. The scores are written, so that every model is trained once."""
+    points = _written(points)
     if points.select("fold").distinct().count() < 2:
         raise ValueError("grid search needs at least two folds")
     n = len(combinations)

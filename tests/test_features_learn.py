@@ -121,3 +121,37 @@ def test_exact_percentile(spark):
         for p in (0.0, 0.5, 0.9, 1.0):
             assert abs(exact_percentile(df, "v", p) - np.percentile(v, 100 * p)) < 1e-9
     assert exact_percentile(df.limit(0), "v", 0.5) is None
+
+
+def test_perceptrons_of_a_grid_together():
+    """Predictions of every combination as alone; at most 58 of the 96 models are trained, in two tasks a fold."""
+    rng = np.random.default_rng(5)
+    classes, combinations = np.array([0.0, 1.0, 2.0]), ln.grid_rows("perc")
+    rows = [(np.sort(rng.choice(60, 8, replace=False)), rng.normal(size=8)) for _ in range(120)]
+    y = rng.integers(0, 3, 120).astype(float)
+    blocks = ln._blocks("perc", combinations)
+    assert len(blocks) == 2 and sum(map(len, blocks)) == 58 and sorted(i for b in blocks for m in b for i in m) == list(range(96))
+    for block in blocks:
+        together = ln.Perceptrons([combinations[m[0]] for m in block], 60, classes)
+        for s in (0, 60):
+            together.partial_fit(rows[s : s + 60], y[s : s + 60])
+        for numbers, got in zip(block, together.predict(rows)):
+            for i in numbers:
+                alone = ln.Online("perc", combinations[i], 60, classes)
+                for s in (0, 60):
+                    alone.partial_fit(rows[s : s + 60], y[s : s + 60])
+                assert (alone.predict(rows) == got).all()
+
+
+def test_streamed_folds_equal_one_by_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 3) + 1, f"r{i:03d}", float(rng.integers(0, 2)), sorted(rng.choice(20, 4, replace=False).tolist()), rng.normal(size=4).tolist()) for i in range(90)]
+    points = spark.createDataFrame(rows, "fold int, id string, y double, slots array<int>, vals array<double>")
+    for learner, params in (("mbkm", {"n_clusters": 2, "init": "k-means++"}), ("pagc", {"n_iter": 2, "C": 1.0})):
+        got = {(r["fold"], r["id"]): r["p"] for r in ln.cross_validated(points, learner, params, 20).collect()}
+        assert len(got) == 90
+        for out in (1, 2, 3):
+            model, of = ln.Online(learner, params, 20, np.array([0.0, 1.0])), lambda k: [(np.array(r[3]), np.array(r[4])) for r in rows if r[0] == k]
+            for k in {1, 2, 3} - {out}:
+                model.partial_fit(of(k), np.array([r[2] for r in rows if r[0] == k]))
+            assert [got[r[0], r[1]] for r in rows if r[0] == out] == model.predict(of(out)).tolist()
