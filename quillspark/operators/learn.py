@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 
 SEED = 123456789
+#: Rows made dense at once.
+DENSE = 256
 #: Parts that a held-out fold's combinations are trained in, at most.
 BLOCKS = 4
 
@@ -221,28 +223,35 @@ class Online:
             self.w = np.sign(self.w) * np.maximum(0.0, np.abs(self.w) - cut)
 
     def _dense(self, rows):
-        x = np.zeros((len(rows), self.dim))
-        for i, (ix, v) in enumerate(rows):
-            x[i, ix] = v
-        return x
+        """Blocks of dense rows: the whole of them need not fit into memory."""
+        for at in range(0, len(rows), DENSE):
+            part = [rows[i] for i in range(at, min(at + DENSE, len(rows)))]
+            x = np.zeros((len(part), self.dim))
+            for i, (ix, v) in enumerate(part):
+                x[i, ix] = v
+            yield x
 
     def _kmeans(self, rows):
-        x = self._dense(rows)
+        if not len(rows):
+            return
         if not self.counts.any():
-            first = [int(self.rng.integers(len(x)))]
-            while len(first) < min(len(self.w), len(x)):
-                d = np.min([((x - x[i]) ** 2).sum(axis=1) for i in first], axis=0)
-                p = d / d.sum() if self.p.get("init") == "k-means++" and d.sum() else None
-                first.append(int(self.rng.choice(len(x), p=p)))
-            self.w[: len(first)] = x[first]
-        for r in x:
-            k = int(((self.w - r) ** 2).sum(axis=1).argmin())
-            self.counts[k] += 1
-            self.w[k] += (r - self.w[k]) / self.counts[k]
+            first, near = [int(self.rng.integers(len(rows)))], np.full(len(rows), np.inf)
+            centre = lambda i: next(self._dense([rows[i]]))[0]
+            while len(first) < min(len(self.w), len(rows)):
+                c = centre(first[-1])
+                near = np.minimum(near, np.concatenate([((x - c) ** 2).sum(axis=1) for x in self._dense(rows)]))
+                p = near / near.sum() if self.p.get("init") == "k-means++" and near.sum() else None
+                first.append(int(self.rng.choice(len(rows), p=p)))
+            self.w[: len(first)] = [centre(i) for i in first]
+        for x in self._dense(rows):
+            for r in x:
+                k = int(((self.w - r) ** 2).sum(axis=1).argmin())
+                self.counts[k] += 1
+                self.w[k] += (r - self.w[k]) / self.counts[k]
 
     def predict(self, rows) -> np.ndarray:
         if self.kind == "mbkm":
-            return np.array([float(((self.w - r) ** 2).sum(axis=1).argmin()) for r in self._dense(rows)])
+            return np.array([float(((self.w - r) ** 2).sum(axis=1).argmin()) for x in self._dense(rows) for r in x])
         w, b = (self.sum_w / self.t, self.sum_b / self.t) if self.p.get("average") and self.t else (self.w, self.b)
         s = np.array([w[:, ix] @ v + b for ix, v in rows]).reshape(len(rows), -1)
         return s[:, 0] if self.kind == "pagr" else self.classes[s.argmax(axis=1)]

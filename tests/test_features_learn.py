@@ -143,6 +143,20 @@ def test_perceptrons_of_a_grid_together():
                 assert (alone.predict(rows) == got).all()
 
 
+def test_kmeans_never_holds_all_rows_dense():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    rows = [(rng.choice(4096, 5, replace=False), np.ones(5)) for _ in range(3000)]
+    m = ln.Online("mbkm", {"n_clusters": 3, "init": "k-means++"}, 4096, np.array([]))
+    tracemalloc.start()
+    m.partial_fit(rows, None)
+    m.predict(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 < 3000 * 4096 * 8
+
+
 def test_streamed_folds_equal_one_by_one(spark):
     rng = np.random.default_rng(7)
     rows = [(int(i % 3) + 1, f"r{i:03d}", float(rng.integers(0, 2)), sorted(rng.choice(20, 4, replace=False).tolist()), rng.normal(size=4).tolist()) for i in range(90)]
