@@ -12,8 +12,8 @@ language, by a hash of their id; rows whose declared language the first fit reje
 second. Everything else covers all rows.
 
 Segments are sentences: they end at . ! ? and ellipses before white space, at line breaks and at
-separators between spaces. A segment below ``MIN_WORDS`` words gives no language of its own; a text without
-a longer one is classified as a whole. The replacement character counts as a letter, and every
+separators between spaces. A text without a segment of ``MIN_WORDS`` words is classified as a whole. A shorter
+segment adds its language (with 0 segments) where the languages of the text so far are clearly behind. The replacement character counts as a letter, and every
 ``LOST_EACH``-th training segment is also learned with its letters outside ASCII lost, so that the n-grams of
 lost letters tell as much as they do. Defined cases: null and empty texts and texts without letters are
 ``und`` with confidence 0; labels that are null, empty or of no language are undetermined; repeated rows
@@ -188,7 +188,8 @@ def fit_on(texts: DataFrame, labels: DataFrame, vocabulary, per_language: int =
 
 
 def texts_languages(texts: list[str], table: np.ndarray) -> list[list[tuple[str, float, int]]]:
-    """For each text [(language, confidence, segments)], most segments first."""
+    """For each text [(language, confidence, segments)] by its segments of ``MIN_WORDS`` words or more, most
+    segments first. The others are left to ``short_languages``."""
     segs, owner = [], []
     for i, t in enumerate(texts):
         for s in segments(t):
@@ -227,9 +228,30 @@ def whole_language(texts: list[str], table: np.ndarray) -> list[tuple[str, float
     return [(LANGS[int(x.argmax())], float(c)) if len(s) else (UND, 0.0) for s, x, c in zip(sets, scores, conf)]
 
 
+def short_languages(texts: list[str], known: list[list[str]], table: np.ndarray) -> list[list[tuple[str, float, int]]]:
+    """For each text [(language, confidence, 0)] of its segments below ``MIN_WORDS`` words, without the
+    languages ``known`` of it and where these are clearly behind."""
+    sets, owner = [], []
+    for i, t in enumerate(texts):
+        if known[i] and known[i] != [UND]:
+            for s in segments(t):
+                if s != t and n_words(s) < MIN_WORDS and len(grams := presence(s)):
+                    sets.append(grams)
+                    owner.append(i)
+    best: list[dict[str, float]] = [{} for _ in texts]
+    if sets:
+        scores = _scores(sets, table)
+        for i, x, c in zip(owner, scores, confidence(scores)):
+            lang = LANGS[int(x.argmax())]
+            if x.max() - max(x[LANGS.index(k)] for k in known[i]) >= SURE:
+                best[i][lang] = max(best[i].get(lang, 0.0), float(c))
+    return [[(lang, c, 0) for lang, c in sorted(b.items())] for b in best]
+
+
 def languages(texts: DataFrame, table: np.ndarray, vocabulary) -> DataFrame:
-    """(id, words, langs array<struct<lang, confidence, segments>>, whole struct<lang, confidence, segments>) of
-    every row of ``texts(id, text)``; ``whole``, of the text as one segment, only where ``langs`` is empty."""
+    """(id, words, langs array<struct<lang, confidence, segments>>, whole struct<lang, confidence, segments>,
+    short array<struct<...>>) of every row of ``texts(id, text)``; ``whole``, of the text as one segment, only
+    where ``langs`` is empty; ``short``: languages that only segments below ``MIN_WORDS`` words are in."""
     bound = texts.sparkSession.sparkContext.broadcast((table, vocabulary))
 
     def run(batches):
@@ -247,11 +269,15 @@ def languages(texts: DataFrame, table: np.ndarray, vocabulary) -> DataFrame:
                 whole: list[dict | None] = [None] * len(raw)
                 for i, (lang, c) in zip(rest, whole_language([fixed[i] for i in rest], model) if rest else ()):
                     whole[i] = {"lang": lang, "confidence": c, "segments": 0}
-                yield pa.RecordBatch.from_arrays([part.column(0), words, pa.array(langs, pa.list_(one)), pa.array(whole, one)], ["id", "words", "langs", "whole"])
+                known = [[y["lang"] for y in x or [w]] for x, w in zip(langs, whole)]
+                short = [[{"lang": a, "confidence": c, "segments": n} for a, c, n in x] for x in short_languages(fixed, known, model)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), words, pa.array(langs, pa.list_(one)), pa.array(whole, one), pa.array(short, pa.list_(one))], ["id", "words", "langs", "whole", "short"]
+                )
 
     return texts.select("id", "text").mapInArrow(
         run,
-        "id string, words int, langs array<struct<lang: string, confidence: double, segments: int>>, whole struct<lang: string, confidence: double, segments: int>",
+        "id string, words int, langs array<struct<lang: string, confidence: double, segments: int>>, whole struct<lang: string, confidence: double, segments: int>, short array<struct<lang: string, confidence: double, segments: int>>",
     )
 
 

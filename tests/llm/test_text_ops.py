@@ -256,3 +256,14 @@ def test_long_disguises_and_signs_for_any_letter():
     known = [t for t in map("".join, itertools.product(*reads)) if t in words]
     assert abuse.decode("d**k", model)[0] == min(known, key=lambda t: (round(model.of(t), 9), t))
     assert abuse.decode("x" + "*" * 200 + "x", model)[0] == "x" + "*" * 200 + "x"
+
+
+def test_short_segments_have_their_language(spark):
+    """A segment below six words in another language than the rest gives p7_languages a row; p7_found does not ask for it."""
+    model = languages.fit([(s, k) for k, v in SAMPLES.items() for s in v for _ in range(8)])
+    en = "The second act is far better than the first one."
+    rows = [("a", en + " Камера работает плохо."), ("b", en + " The camera is better."), ("c", "The camera is better. Камера работает очень плохо!"), ("d", "..."), ("e", ""), ("f", en + " ... 7!")]
+    found = {r["id"]: r for r in languages.languages(spark.createDataFrame(rows, "id string, text string"), model, VOCAB).collect()}
+    assert [x["lang"] for x in found["a"]["langs"]] == ["en"] and [(x["lang"], x["segments"]) for x in found["a"]["short"]] == [("ru", 0)]
+    assert {found["c"]["whole"]["lang"], *(x["lang"] for x in found["c"]["short"])} == {"en", "ru"}
+    assert all(found[k]["short"] == [] for k in "bdef")
