@@ -110,3 +110,10 @@ def test_comparison_keeps_every_pair_within_the_radius():
             x, y = set(hashes[a].tolist()), set(hashes[b].tolist())
             if len(x & y) / len(x | y) >= 0.5:
                 assert (b, a) in got
+
+
+def test_buckets_without_a_pair_are_not_compared():
+    """One side only, one record only, no hash of a smaller set's prefix; a class with both sides is a pair's half."""
+    new = np.array([1, 0, 1, 1, 0, 1, 0, 1, 0], bool)
+    flags = np.array([1 | 2, 1 | 2, 1 | 6, 1 | 2, 4, 2, 4, 6, 1 | 2], np.int8)
+    assert near_pairs.paired(new, flags).tolist() == [False, False, False, True, True, False, False, True, True]
